@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,3 +67,42 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2 <
 def low_words(text: str | None) -> list[bytes]:
     """Words with A-Z lower-cased; bytes.lower() and bytes.split() touch ASCII only."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+class Remembered(dict):
+    """A dict that computes what it lacks; trim() between batches keeps it bounded."""
+
+    def __init__(self, make, limit: int = 400_000):
+        super().__init__()
+        self.make, self.limit = make, limit
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+    def trim(self) -> None:
+        if len(self) > self.limit:
+            self.clear()
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The 64-bit finaliser of splitmix64, elementwise."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+#: Odd multipliers, one for each place in a shingle, made from a counter.
+PLACES = mixed(np.arange(1, 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """64-bit hashes of all runs of `size` words, given the words' hashes; fewer words make one run."""
+    if not len(words):
+        return words
+    size = min(size, len(words))
+    n = len(words) - size + 1
+    total = np.full(n, size, np.uint64)
+    for k in range(size):
+        total += words[k : k + n] * PLACES[k]
+    return mixed(total)

@@ -29,12 +29,27 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), capacity=4096, end=2)
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.op3_langid import held_out, predicted, train
+
+    docs = documents(spark, sf_dir)
+    model = train(docs.where(~held_out(docs)))
+    out = predicted(docs, model)
+    return out.select("doc_id", held_out(out).alias("held_out"), "lang_pred", "score")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.op4_bpe import digests
 
     return digests(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.op6_simhash import with_edits
+
+    return with_edits(documents(spark, sf_dir))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.op10_token_counts import token_counts
 
@@ -42,7 +57,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_packing, op4_bpe, op10_token_counts)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_langid, op4_bpe, op6_simhash, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
