@@ -50,6 +50,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_edits(documents(spark, sf_dir))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.op7_quality_classifier import graded, scored, train
+
+    docs = documents(spark, sf_dir)
+    out = scored(docs, train(docs, graded(spark.read.parquet(f"{sf_dir}/labels.parquet"))))
+    return out.select("doc_id", "expected_grade", F.col("p_at_least")[0].alias("p_at_least_1"), F.col("p_at_least")[1].alias("p_at_least_2"), "kept")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.op10_token_counts import token_counts
 
@@ -57,7 +65,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_langid, op4_bpe, op6_simhash, op10_token_counts)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_langid, op4_bpe, op6_simhash, op7_quality_classifier, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
