@@ -58,6 +58,12 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "expected_grade", F.col("p_at_least")[0].alias("p_at_least_1"), F.col("p_at_least")[1].alias("p_at_least_2"), "kept")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.op8_quality_rules import judged
+
+    return judged(documents(spark, sf_dir)).drop("cleaned")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.op10_token_counts import token_counts
 
@@ -65,8 +71,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_langid, op4_bpe, op6_simhash, op7_quality_classifier, op10_token_counts)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_langid, op4_bpe, op6_simhash, op7_quality_classifier, op8_quality_rules, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from sievework.llm import op8_quality_rules as rules
+
+    return {"op8_quality_rules": rules.SQL}
