@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import regex
@@ -20,7 +22,9 @@ SPACE = "\t-\r \x85\xa0  -     　"
 #: str.split() also splits at these, which are no white space in the pattern's sense.
 ODD = regex.compile("[\x1c-\x1f]")
 SPLIT = regex.compile(f"[{SPACE}]+")
-CACHE = 300_000
+CACHE = 700_000
+MARKS = tuple(",.;:!?")
+NONE = np.iinfo(np.int64).max
 
 
 def byte_letters() -> list[str]:
@@ -60,13 +64,25 @@ class WordBpe:
         made = np.array([vocab[x + y] for x, y in merges], np.int64)
         keys = (a << 20) | b
         order = np.argsort(keys)
-        self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made[order]
+        self.keys, self.rank_of_key, self.made = keys[order], order.astype(np.int64), made
+        self.parts: dict[str, bytes] = {}
         self.cache: dict[str, bytes] = {}
 
     def pretokens(self, word: str) -> list[str]:
         """Of a run without white space and special strings."""
         return self.pattern.findall(unicodedata.normalize("NFC", word).replace("Σ", "σ").lower())
 
+    def rank(self, sym: np.ndarray, owner: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The ranks of the pairs that begin at these places; NONE where no pair of one word merges."""
+        inside = at + 1 < len(sym)
+        at = np.where(inside, at, 0)
+        after = np.where(inside, at + 1, 0)
+        key = (sym[at] << 20) | sym[after]
+        place = np.searchsorted(self.keys, key)
+        place[place == len(self.keys)] = 0
+        hit = inside & (owner[at] == owner[after]) & (self.keys[place] == key)
+        return np.where(hit, self.rank_of_key[place], NONE)
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one array, and where each word begins (one more entry for the end)."""
         sizes = np.array([len(w) for w in words], np.int64)
@@ -75,55 +91,65 @@ class WordBpe:
         sym = self.first[flat]
         ends = np.cumsum(sizes) - 1
         sym[ends] = self.last[flat[ends]]
+        rank = self.rank(sym, owner, np.arange(len(sym)))
         done_sym, done_owner = [], []
         while len(sym):
-            same = owner[1:] == owner[:-1]
-            key = (sym[:-1] << 20) | sym[1:]
-            at = np.searchsorted(self.keys, key)
-            at[at == len(self.keys)] = 0
-            hit = same & (self.keys[at] == key)
-            rank = np.where(hit, self.rank[at], np.iinfo(np.int64).max)
-            best = np.full(len(words), np.iinfo(np.int64).max)
-            np.minimum.at(best, owner[:-1][hit], rank[hit])
-            open_word = best != np.iinfo(np.int64).max
-            left = np.flatnonzero(hit & (rank == best[owner[:-1]]))
+            starts = np.flatnonzero(np.diff(owner, prepend=-1))
+            sizes = np.diff(np.append(starts, len(sym)))
+            best = np.repeat(np.minimum.reduceat(rank, starts), sizes)
+            going = best < NONE
+            if not going.all():
+                done_sym.append(sym[~going])
+                done_owner.append(owner[~going])
+                sym, owner, rank, best = sym[going], owner[going], rank[going], best[going]
+                if not len(sym):
+                    break
+            left = np.flatnonzero(rank == best)
             # in a run of overlapping pairs (a a a) every second one merges, from the left
-            starts = np.flatnonzero(np.diff(left, prepend=-2) != 1)
-            offset = np.arange(len(left)) - np.repeat(starts, np.diff(np.append(starts, len(left))))
-            left = left[offset % 2 == 0]
-            sym[left] = self.made[at[left]]
+            begins = np.flatnonzero(np.diff(left, prepend=-2) != 1)
+            if len(begins) < len(left):
+                offset = np.arange(len(left)) - np.repeat(begins, np.diff(np.append(begins, len(left))))
+                left = left[offset % 2 == 0]
+            sym[left] = self.made[rank[left]]
             keep = np.ones(len(sym), bool)
             keep[left + 1] = False
-            sym, owner = sym[keep], owner[keep]
-            going = open_word[owner]
-            done_sym.append(sym[~going])
-            done_owner.append(owner[~going])
-            sym, owner = sym[going], owner[going]
+            sym, owner, rank = sym[keep], owner[keep], rank[keep]
+            new = left - np.arange(len(left))  # where the merged symbols are now
+            again = np.concatenate([new, new[new > 0] - 1])
+            rank[again] = self.rank(sym, owner, again)
         sym, owner = np.concatenate([*done_sym, np.empty(0, np.int64)]), np.concatenate([*done_owner, np.empty(0, np.int64)])
         order = np.argsort(owner, kind="stable")
         return sym[order].astype("<u4"), np.searchsorted(owner[order], np.arange(len(words) + 1))
 
+    def pieces(self, word: str) -> list[str]:
+        """Pre-tokens of a normalised run; the common cases don't need the pattern."""
+        if word.isalpha():
+            return [word]
+        if word[-1:] in MARKS and word[:-1].isalpha():
+            return [word[:-1], word[-1]]
+        return self.pattern.findall(word)
+
     def learn(self, words: set[str]) -> None:
         """Puts the ids of these white-space-free runs into the cache."""
-        parts: list[str] = []
-        plan: list[tuple[str, list[int]]] = []
-        number: dict[str, int] = {}
-        for w in words:
-            own: list[int] = []
-            for piece in self.special_at.split(w) if self.special_at and "<|" in w else (w,):
-                if piece in self.special:
-                    own.append(-1 - self.special[piece])
-                elif piece:
-                    for p in self.pretokens(piece):
-                        if (k := number.get(p)) is None:
-                            k = number[p] = len(parts)
-                            parts.append(p)
-                        own.append(k)
-            plan.append((w, own))
-        ids, start = self.merge([p.encode("utf-8", "replace") for p in parts])
-        raw, at = ids.tobytes(), (start * 4).tolist()
-        for w, own in plan:
-            self.cache[w] = b"".join(raw[at[k] : at[k + 1]] if k >= 0 else (-1 - k).to_bytes(4, "little") for k in own)
+        special = {w for w in words if "<|" in w and self.special_at and self.special_at.search(w)}
+        plain = [w for w in words if w not in special]
+        normal = unicodedata.normalize("NFC", "\n".join(plain)).replace("Σ", "σ").lower().split("\n") if plain else []
+        split = {w: self.pieces(w) for w in set(normal)}
+        mixed = {w: [p if p in self.special else self.pretokens(p) for p in self.special_at.split(w) if p] for w in special}
+        wanted = set(chain.from_iterable(split.values())).union(*(p for own in mixed.values() for p in own if not isinstance(p, str)))
+        new = list(wanted.difference(self.parts))
+        if len(self.parts) + len(new) > CACHE:
+            self.parts = {p: self.parts[p] for p in wanted.intersection(self.parts)}
+        if new:
+            ids, start = self.merge([p.encode("utf-8", "replace") for p in new])
+            raw, at = ids.tobytes(), (start * 4).tolist()
+            for k, p in enumerate(new):
+                self.parts[p] = raw[at[k] : at[k + 1]]
+        get, cache = self.parts.__getitem__, self.cache
+        joined = {w: get(own[0]) if len(own) == 1 else b"".join(map(get, own)) for w, own in split.items()}
+        cache.update(zip(plain, map(joined.__getitem__, normal), strict=True))
+        for w, own in mixed.items():
+            cache[w] = b"".join(self.special[p].to_bytes(4, "little") if isinstance(p, str) else b"".join(map(get, p)) for p in own)
 
     def split(self, text: str) -> list[str]:
         return text.split() if ODD.search(text) is None else [x for x in SPLIT.split(text) if x]
@@ -131,11 +157,11 @@ class WordBpe:
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.split(t) if t else [] for t in texts]
-        new = set().union(*split) - self.cache.keys()
+        words = set(chain.from_iterable(split))
+        new = words.difference(self.cache)
+        if len(self.cache) + len(new) > CACHE:
+            self.cache = {w: self.cache[w] for w in words.intersection(self.cache)}
         if new:
-            if len(self.cache) + len(new) > CACHE:
-                self.cache.clear()
-                new = set().union(*split)
             self.learn(new)
         get = self.cache.__getitem__
         return [b"".join(map(get, words)) for words in split]
@@ -144,3 +170,9 @@ class WordBpe:
         """A vocabulary without a decoder gives its token strings, one space between them."""
         tokens = self.tokens
         return b" ".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
+
+
+@cache
+def shared(path: str) -> WordBpe:
+    """One for each Python worker, so that its cache outlives a task."""
+    return WordBpe(path)

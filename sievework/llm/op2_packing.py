@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.bpe import WordBpe
+from sievework.llm import bpe as bpes
 from sievework.llm.common import pick, small_batches, written
 
 UNIT_ROWS = 100_000
@@ -81,7 +81,7 @@ def packed(docs: DataFrame, vocabulary: str, capacity: int = 4096, end: int = 2,
     tail = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, full = WordBpe(vocabulary), 0
+        bpe, full = bpes.shared(vocabulary), 0
         for batch in small_batches(batches, "text"):
             size, crc, before = [], [], []
             for ids in bpe.encode_batch(batch.column(2).to_pylist()):

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sievework.llm.bpe import WordBpe
+from sievework.llm import bpe as bpes
 from sievework.llm.common import pick, small_batches
 
 
@@ -19,7 +19,7 @@ def encoded(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
     """(doc_id, ids, decoded): ids as little-endian unsigned 32-bit integers, decoded as UTF-8."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(vocabulary)
+        bpe = bpes.shared(vocabulary)
         for batch in small_batches(batches, "text", 1 << 20):
             ids = bpe.encode_batch(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary())], ["doc_id", "ids", "decoded"])
@@ -32,7 +32,7 @@ def digests(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), hashed where the ids are made."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(vocabulary)
+        bpe = bpes.shared(vocabulary)
         for batch in small_batches(batches, "text"):
             ids = bpe.encode_batch(batch.column(1).to_pylist())
             sha = [hashlib.sha256(x).hexdigest() for x in ids]
