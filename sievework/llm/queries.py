@@ -44,6 +44,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
+def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.op5_ppm import held_out, scored
+
+    docs = documents(spark, sf_dir)
+    out = scored(docs, docs.where(~held_out(docs)))
+    return out.select("doc_id", held_out(out).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.op6_simhash import with_edits
 
@@ -71,7 +79,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_langid, op4_bpe, op6_simhash, op7_quality_classifier, op8_quality_rules, op10_token_counts)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_langid, op4_bpe, op5_ppm, op6_simhash, op7_quality_classifier, op8_quality_rules, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
