@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.plans.scratch import written  # noqa: F401
+
+
+
 #: A word is a run of bytes other than these; bytes.split() has the same rule.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -29,25 +31,6 @@ def crc_of_id(col: Column) -> Column:
     return F.crc32(col.cast("string").cast("binary"))
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only in local mode, where no cluster names any."""
-    if root := spark.conf.get("spark.checkpoint.dir", None):
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="scratch-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: it cuts the lineage and outlives executors."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices with about `limit` bytes of text each (one row at least), so that a worker's arrays stay small."""
     for batch in batches:

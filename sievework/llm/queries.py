@@ -72,14 +72,26 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(documents(spark, sf_dir)).drop("cleaned")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.op9_jaccard_join import components
+
+    return components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.op10_token_counts import token_counts
 
     return token_counts(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_langid, op4_bpe, op5_ppm, op6_simhash, op7_quality_classifier, op8_quality_rules, op10_token_counts)}
+    return {f.__name__: f for f in (op1_sharding, op2_packing, op3_langid, op4_bpe, op5_ppm, op6_simhash, op7_quality_classifier, op8_quality_rules, op9_jaccard_join, op10_token_counts, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
