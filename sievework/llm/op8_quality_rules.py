@@ -75,10 +75,13 @@ def measured(docs: DataFrame, text: str = "text", max_lost: int = MAX_LOST) -> D
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     left = F.length(F.regexp_replace(F.array_join("good_lines", ""), SPACES, ""))
+    # always true, but not foldable: else a filter on these columns would be pushed below the stages, with all of
+    # their arrays computed again for each element
+    whole = F.monotonically_increasing_id() >= 0
     return out.select(
         "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
-        (~failed & ((F.col("word_chars") - left) * 100 <= max_lost * F.col("word_chars"))).alias("kept"),
+        (whole & ~failed & ((F.col("word_chars") - left) * 100 <= max_lost * F.col("word_chars"))).alias("kept"),
         F.when(F.size("lines") == F.size("good_lines"), source).otherwise(F.array_join("good_lines", "\n")).alias("cleaned"),
     )
 
