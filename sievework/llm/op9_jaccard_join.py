@@ -1,7 +1,7 @@
 """Grouped prefix join: all pairs of documents whose 5-word shingle sets have a Jaccard similarity of 0.75 or more.
 
 1. A scan reduces each document to the size and digest of its shingle set. Documents with equal sets are one
-   item. It also finds frequent shingles: counts of chunks are summed where a chunk has a shingle three times.
+   item. It also finds frequent shingles: counts of chunks are summed where a chunk has a shingle twice.
 2. In one order for all (rare by hash first, the frequent ones last) two sets can only be similar if their
    prefixes of n - ceil(0.75 n) + 1 shingles meet. Items with an identical prefix and size form a group, and
    only groups are posted under their prefix shingles.
@@ -32,7 +32,7 @@ from sievework.llm.common import Remembered, low_words, pick, shingle_hashes, sm
 from sievework.operators.graph import connected_components
 
 SHINGLE, PERCENT = 5, 75
-FREQUENT, MOST_FREQUENT, CHUNK = 32, 500_000, 4_000_000
+FREQUENT, MOST_FREQUENT, CHUNK = 9, 1_000_000, 4_000_000
 BLOCK = 8
 #: As many row numbers are broadcast at most; beyond that the join is shuffled.
 BROADCAST_ROWS = 2_000_000
@@ -51,13 +51,16 @@ class Shingles:
         return np.unique(shingle_hashes(np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words)), self.size))
 
 
-def prefix_of(shingles: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
+def prefix_of(shingles: np.ndarray, frequent: np.ndarray, times: np.ndarray, percent: int) -> np.ndarray:
+    """The first n - ceil(percent n) + 1 shingles: the infrequent by hash, then the frequent (sorted by hash) by times."""
     n = len(shingles)
     size = n - -(-percent * n // 100) + 1
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
         late = frequent[at] == shingles
-        shingles = np.concatenate([shingles[~late], shingles[late]])
+        if late.any():
+            last = shingles[late]
+            shingles = np.concatenate([shingles[~late], last[np.lexsort((last, times[at[late]]))]])
     return shingles[:size]
 
 
@@ -65,6 +68,14 @@ def _sized(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _possible(shared: Column, other: str, percent: int) -> Column:
+    """Whether a and b can still be similar: shared prefix shingles, at most so many more in blocks of the other
+    kind, and all that lies behind the longer prefix."""
+    more = F.least(F.coalesce(f"{other}_a", F.lit(0)), F.coalesce(f"{other}_b", F.lit(0)))
+    rest = F.greatest(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
+    return (shared + more + rest) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+
+
 def _with_rows(docs: DataFrame, *columns: str) -> DataFrame:
     return pick(docs, *columns).toDF(*["doc_id", "text"][-len(columns) :]).withColumn("row", F.monotonically_increasing_id())
 
@@ -94,7 +105,7 @@ def similar_items(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
 
         def often() -> pa.RecordBatch | None:
             value, times = np.unique(np.concatenate(held), return_counts=True)
-            many = times >= 3
+            many = times >= 2
             return out([], [], [], [], value[many].view(np.int64), times[many]) if many.any() else None
 
         for batch in small_batches(batches, "text"):
@@ -116,8 +127,10 @@ def similar_items(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
 
     sets = written(rows.select("doc_id", "text", "row").mapInArrow(measure, f"row long, doc_id {kind}, n long, item binary, shingle long, times long"), "sets")
     often = sets.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= FREQUENT)
-    top = often.orderBy(F.desc("times"), "shingle").limit(MOST_FREQUENT).toArrow().column("shingle").to_numpy().view(np.uint64)
-    frequent = spark.sparkContext.broadcast(np.sort(top))  # MOST_FREQUENT numbers at most; any order gives right results
+    top = often.orderBy(F.desc("times"), "shingle").limit(MOST_FREQUENT).toArrow()
+    value, times = top.column("shingle").to_numpy().view(np.uint64), top.column("times").to_numpy()
+    order = np.argsort(value)
+    frequent = spark.sparkContext.broadcast((value[order], times[order]))  # MOST_FREQUENT pairs at most; any order gives right results
     own = sets.where("row is not null").select("row", "doc_id", "n", "item")
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +143,7 @@ def similar_items(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
                 if not len(found) or item in seen:
                     continue
                 seen.add(item)
-                prefix = prefix_of(found, last, percent)
+                prefix = prefix_of(found, *last, percent)
                 group = xxhash.xxh3_64_intdigest(prefix.tobytes() + len(found).to_bytes(8)) - (1 << 63)
                 new = group not in posted
                 posted.add(group)
@@ -153,7 +166,7 @@ def similar_items(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     large = blocks.join(sizes.where(F.col("k") > block), "block")
 
     # each item's part in larger blocks: how many, and how many others it meets there
-    part = large.groupBy("item").agg(F.count("*").alias("in_large"), F.sum("k").alias("meets"))
+    part = large.groupBy("item").agg(F.sum(F.when(F.col("block.kind") == 1, F.col("p")).otherwise(1)).alias("in_large"), F.sum("k").alias("meets"))
     a, b = small.alias("a"), small.alias("b")
     pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.item") < F.col("b.item")) & _sized(F.col("a.n"), F.col("b.n"), percent))
     # a pair inside a group shares its whole prefix, whatever else it meets in
@@ -161,9 +174,7 @@ def similar_items(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     pairs = pairs.groupBy(F.col("a.item").alias("a"), F.col("b.item").alias("b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"), F.col("a.p").alias("p_a"), F.col("b.p").alias("p_b")).agg(shared)
     for side in "ab":
         pairs = pairs.join(part.select(F.col("item").alias(side), F.col("in_large").alias(f"large_{side}")), side, "left")
-    together = F.col("shared") + F.least(F.coalesce("large_a", F.lit(0)), F.coalesce("large_b", F.lit(0)))
-    rest = F.greatest(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
-    pairs = pairs.where((together + rest) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent).select("a", "b")
+    pairs = pairs.where(_possible(F.col("shared"), "large", percent)).select("a", "b")
 
     ranked = written(large.join(part, "item"), "large-blocks")
     hub = ranked.groupBy("block").agg(F.max(F.struct("meets", "item", "n")).alias("hub")).select("block", F.col("hub.item").alias("hub"), F.col("hub.n").alias("hub_n"))
@@ -171,18 +182,12 @@ def similar_items(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     hub_pairs = spokes.where(_sized(F.col("n"), F.col("hub_n"), percent)).select(F.least("item", "hub").alias("a"), F.greatest("item", "hub").alias("b"))
     first = written(pairs.union(hub_pairs).distinct(), "candidates")
 
-    # the sets of the items in blocks, from one row each
-    needed = members.join(blocks.select("item").distinct(), "item", "left_semi").select("row")
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(size)
         for batch in small_batches(batches, "text"):
             found = [shingles.of(x).tobytes() for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in found], pa.binary()), pa.array(found, pa.binary())], ["item", "shingles"])
 
-    needed = written(first.select("a").union(first.select("b")).distinct().join(members.select(F.col("item").alias("a"), "row"), "a").select("row"), "needed") if ranked.isEmpty() else written(needed, "needed")
-    full = written(only_rows(rows.select("text", "row"), needed, "left_semi").select("text").mapInArrow(read, "item binary, shingles binary"), "whole-sets")
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = []
@@ -196,6 +201,10 @@ def similar_items(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared), pa.array(m + n - shared)], ["a", "b", "shared", "united"])
 
     def compared(pairs: DataFrame) -> DataFrame:
+        """The pairs with the sizes of intersection and union; only sets of items in them are made, from one row each."""
+        either = pairs.select(F.col("a").alias("item")).union(pairs.select("b")).distinct()
+        needed = written(members.join(either, "item", "left_semi").select("row"), "needed")
+        full = written(only_rows(rows.select("text", "row"), needed, "left_semi").select("text").mapInArrow(read, "item binary, shingles binary"), "whole-sets")
         both = pairs.join(full.select(F.col("item").alias("a"), F.col("shingles").alias("set_a")), "a").join(full.select(F.col("item").alias("b"), F.col("shingles").alias("set_b")), "b")
         return both.select("a", "b", "set_a", "set_b").mapInArrow(verify, "a binary, b binary, shared long, united long")
 
@@ -207,14 +216,23 @@ def similar_items(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
         placed = ranked.join(hub, "block").join(parts, "item", "left").withColumn("component", F.coalesce("component", "item"))
         near = checked.select("a", "b", (1 - F.col("shared") / F.col("united")).alias("far"))
         placed = placed.withColumn("a", F.least("item", "hub")).withColumn("b", F.greatest("item", "hub")).join(near, ["a", "b"], "left")
-        placed = placed.withColumn("far", F.when(F.col("item") == F.col("hub"), 0.0).otherwise(F.col("far"))).select("block", "item", "n", "component", "far")
+        placed = placed.withColumn("far", F.when(F.col("item") == F.col("hub"), 0.0).otherwise(F.col("far"))).select("block", "item", "n", "p", "component", "far")
         count = placed.groupBy("block", "component").agg(F.count("*").alias("k"))
         main = count.groupBy("block").agg(F.max(F.struct("k", "component")).alias("main"), F.count("*").alias("components")).where("components > 1").select("block", F.col("main.component").alias("main"))
         open_blocks = written(placed.join(main, "block"), "open-blocks")
         x, y = open_blocks.where("component <> main").alias("x"), open_blocks.alias("y")
         reach = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
-        late = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.component") != F.col("y.component")) & _sized(F.col("x.n"), F.col("y.n"), percent) & reach)
-        late = late.select(F.least("x.item", "y.item").alias("a"), F.greatest("x.item", "y.item").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        once = (F.col("y.component") == F.col("y.main")) | (F.col("x.item") < F.col("y.item"))
+        late = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.component") != F.col("y.component")) & _sized(F.col("x.n"), F.col("y.n"), percent) & once)
+        swap = F.col("x.item") > F.col("y.item")
+        sides = [F.when(swap, F.col(f"{v}.{c}")).otherwise(F.col(f"{u}.{c}")).alias(f"{name}_{side}" if name else side) for side, u, v in (("a", "x", "y"), ("b", "y", "x")) for c, name in (("item", ""), ("n", "n"), ("p", "p"))]
+        late = late.select(*sides, F.when(F.col("x.block.kind") == 1, F.col("x.p")).otherwise(1).alias("met"), reach.alias("reach"))
+        late = late.groupBy("a", "b", "n_a", "n_b", "p_a", "p_b").agg(F.sum("met").alias("shared"), F.bool_and("reach").alias("reach")).where("reach")
+        some = small.groupBy("item").agg(F.sum(F.when(F.col("block.kind") == 1, F.col("p")).otherwise(1)).alias("n_small"))
+        for side in "ab":
+            late = late.join(some.select(F.col("item").alias(side), F.col("n_small").alias(f"small_{side}")), side, "left")
+        late = late.where(_possible(F.col("shared"), "small", percent)).select("a", "b").join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        late = written(late, "late-candidates")
         links = links.union(written(compared(late), "compared").where(linked))
     return own, links
 
