@@ -69,11 +69,21 @@ def _sized(a: Column, b: Column, percent: int) -> Column:
 
 
 def _possible(shared: Column, other: str, percent: int) -> Column:
-    """Whether a and b can still be similar: shared prefix shingles, at most so many more in blocks of the other
-    kind, and all that lies behind the longer prefix."""
+    """Whether a and b can still be similar: they share so many prefix shingles, and at most so many more in blocks
+    of the other kind."""
     more = F.least(F.coalesce(f"{other}_a", F.lit(0)), F.coalesce(f"{other}_b", F.lit(0)))
-    rest = F.greatest(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
-    return (shared + more + rest) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    return shared + more >= _least_shared(*[F.col(c) for c in ("n_a", "n_b", "p_a", "p_b")], percent)
+
+
+def _least_shared(n_a: Column, n_b: Column, p_a: Column, p_b: Column, percent: int) -> Column:
+    """How many prefix shingles two similar sets share at least: the overlap they need, without what can lie behind
+    the prefixes. It may be 0 or less for sets of different sizes."""
+    return F.ceil((n_a + n_b) * percent / (100 + percent) - 1e-9) - F.greatest(n_a - p_a, n_b - p_b)
+
+
+def _weight(block: str, p: str) -> Column:
+    """Items of one group share their whole prefix, those of another block the one shingle."""
+    return F.when(F.col(f"{block}.kind") == 1, F.col(p)).otherwise(1)
 
 
 def _with_rows(docs: DataFrame, *columns: str) -> DataFrame:
@@ -166,20 +176,22 @@ def similar_items(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     large = blocks.join(sizes.where(F.col("k") > block), "block")
 
     # each item's part in larger blocks: how many, and how many others it meets there
-    part = large.groupBy("item").agg(F.sum(F.when(F.col("block.kind") == 1, F.col("p")).otherwise(1)).alias("in_large"), F.sum("k").alias("meets"))
+    part = large.groupBy("item").agg(F.sum(_weight("block", "p")).alias("in_large"), F.sum("k").alias("meets"))
     a, b = small.alias("a"), small.alias("b")
     pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.item") < F.col("b.item")) & _sized(F.col("a.n"), F.col("b.n"), percent))
     # a pair inside a group shares its whole prefix, whatever else it meets in
-    shared = F.sum(F.when(F.col("a.block.kind") == 1, F.col("a.p")).otherwise(1)).alias("shared")
+    shared = F.sum(_weight("a.block", "a.p")).alias("shared")
     pairs = pairs.groupBy(F.col("a.item").alias("a"), F.col("b.item").alias("b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"), F.col("a.p").alias("p_a"), F.col("b.p").alias("p_b")).agg(shared)
     for side in "ab":
         pairs = pairs.join(part.select(F.col("item").alias(side), F.col("in_large").alias(f"large_{side}")), side, "left")
     pairs = pairs.where(_possible(F.col("shared"), "large", percent)).select("a", "b")
 
-    ranked = written(large.join(part, "item"), "large-blocks")
-    hub = ranked.groupBy("block").agg(F.max(F.struct("meets", "item", "n")).alias("hub")).select("block", F.col("hub.item").alias("hub"), F.col("hub.n").alias("hub_n"))
-    spokes = ranked.join(hub, "block").where(F.col("item") != F.col("hub"))
-    hub_pairs = spokes.where(_sized(F.col("n"), F.col("hub_n"), percent)).select(F.least("item", "hub").alias("a"), F.greatest("item", "hub").alias("b"))
+    some = small.groupBy("item").agg(F.sum(_weight("block", "p")).alias("small"))
+    ranked = written(large.join(part, "item").join(some, "item", "left").withColumn("small", F.coalesce("small", F.lit(0))), "large-blocks")
+    hub = ranked.groupBy("block").agg(F.max(F.struct("meets", "item", "n", "p", (F.col("in_large") + F.col("small")).alias("all"))).alias("hub")).select("block", "hub")
+    spokes = ranked.join(hub, "block").where((F.col("item") != F.col("hub.item")) & _sized(F.col("n"), F.col("hub.n"), percent))
+    enough = F.least(F.col("in_large") + F.col("small"), F.col("hub.all")) >= _least_shared(F.col("n"), F.col("hub.n"), F.col("p"), F.col("hub.p"), percent)
+    hub_pairs = spokes.where(enough).select(F.least("item", "hub.item").alias("a"), F.greatest("item", "hub.item").alias("b"))
     first = written(pairs.union(hub_pairs).distinct(), "candidates")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,25 +225,33 @@ def similar_items(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     links = checked.where(linked)
     if not ranked.isEmpty():
         parts = connected_components(links, "a", "b").select(F.col("node").alias("item"), "component")
-        placed = ranked.join(hub, "block").join(parts, "item", "left").withColumn("component", F.coalesce("component", "item"))
+        placed = ranked.join(hub.withColumn("hub", F.col("hub.item")), "block").join(parts, "item", "left").withColumn("component", F.coalesce("component", "item"))
         near = checked.select("a", "b", (1 - F.col("shared") / F.col("united")).alias("far"))
         placed = placed.withColumn("a", F.least("item", "hub")).withColumn("b", F.greatest("item", "hub")).join(near, ["a", "b"], "left")
-        placed = placed.withColumn("far", F.when(F.col("item") == F.col("hub"), 0.0).otherwise(F.col("far"))).select("block", "item", "n", "p", "component", "far")
+        placed = placed.withColumn("far", F.when(F.col("item") == F.col("hub"), 0.0).otherwise(F.col("far"))).select("block", "item", "n", "p", "k", "small", "component", "far")
         count = placed.groupBy("block", "component").agg(F.count("*").alias("k"))
         main = count.groupBy("block").agg(F.max(F.struct("k", "component")).alias("main"), F.count("*").alias("components")).where("components > 1").select("block", F.col("main.component").alias("main"))
-        open_blocks = written(placed.join(main, "block"), "open-blocks")
+        sized = placed.join(main, "block")
+        # an item's open blocks from the smallest on, and what meets in them: a partner must share so many blocks
+        # that it turns up in one of the first few, and no partner can share more than all of them
+        item = Window.partitionBy("item")
+        upto = F.sum(_weight("block", "p")).over(item.orderBy("k", "block").rowsBetween(Window.unboundedPreceding, -1))
+        sized = sized.withColumn("before", F.coalesce(upto, F.lit(0))).withColumn("open", F.sum(_weight("block", "p")).over(item))
+        open_blocks = written(sized, "open-blocks")
         x, y = open_blocks.where("component <> main").alias("x"), open_blocks.alias("y")
         reach = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
         once = (F.col("y.component") == F.col("y.main")) | (F.col("x.item") < F.col("y.item"))
-        late = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.component") != F.col("y.component")) & _sized(F.col("x.n"), F.col("y.n"), percent) & once)
-        swap = F.col("x.item") > F.col("y.item")
-        sides = [F.when(swap, F.col(f"{v}.{c}")).otherwise(F.col(f"{u}.{c}")).alias(f"{name}_{side}" if name else side) for side, u, v in (("a", "x", "y"), ("b", "y", "x")) for c, name in (("item", ""), ("n", "n"), ("p", "p"))]
-        late = late.select(*sides, F.when(F.col("x.block.kind") == 1, F.col("x.p")).otherwise(1).alias("met"), reach.alias("reach"))
-        late = late.groupBy("a", "b", "n_a", "n_b", "p_a", "p_b").agg(F.sum("met").alias("shared"), F.bool_and("reach").alias("reach")).where("reach")
-        some = small.groupBy("item").agg(F.sum(F.when(F.col("block.kind") == 1, F.col("p")).otherwise(1)).alias("n_small"))
+        wanted = _least_shared(*[F.col(c) for c in ("x.n", "y.n", "x.p", "y.p")], percent)
+        met = F.least(F.col("x.open") + F.col("x.small"), F.col("y.open") + F.col("y.small")) >= wanted
+        early = F.col("x.open") + F.col("x.small") - F.col("x.before") >= wanted
+        late = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.component") != F.col("y.component")) & _sized(F.col("x.n"), F.col("y.n"), percent) & once & met & early & reach)
+        late = late.select(F.least("x.item", "y.item").alias("a"), F.greatest("x.item", "y.item").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        # what each pair really shares, from the items' own lists (no longer than their prefixes)
+        lists = open_blocks.groupBy("item").agg(F.collect_list(F.when(F.col("block.kind") == 0, F.col("block.s"))).alias("at"), F.max(F.when(F.col("block.kind") == 1, F.col("block.s"))).alias("g"), *[F.first(c).alias(c) for c in ("n", "p", "small")])
         for side in "ab":
-            late = late.join(some.select(F.col("item").alias(side), F.col("n_small").alias(f"small_{side}")), side, "left")
-        late = late.where(_possible(F.col("shared"), "small", percent)).select("a", "b").join(checked.select("a", "b"), ["a", "b"], "left_anti")
+            late = late.join(lists.select(*[F.col(c).alias(side if c == "item" else f"{c}_{side}") for c in lists.columns]), side)
+        shared = F.size(F.array_intersect("at_a", "at_b")) + F.when(F.col("g_a") == F.col("g_b"), F.col("p_a")).otherwise(0)
+        late = late.where(_possible(shared, "small", percent)).select("a", "b")
         late = written(late, "late-candidates")
         links = links.union(written(compared(late), "compared").where(linked))
     return own, links
