@@ -146,9 +146,10 @@ def train(docs: DataFrame, sample: int = 4000, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["lang", "at", "n"])
 
     # `sample` ids at most are broadcast; repeated ids could bring more rows than that, hence the limit
-    got = rows.join(F.broadcast(kept), "doc_id", "left_semi").select("doc_id", "text", "lang").mapInArrow(grams, "lang string, at binary, n binary").limit(sample).collect()
-    read = lambda b: np.frombuffer(b, "<i4").astype(np.int64)
-    return fit(sorted(((r.lang, read(r.at), read(r.n)) for r in got), key=lambda r: (r[1].tobytes(), r[0])))
+    got = rows.join(F.broadcast(kept), "doc_id", "left_semi").select("doc_id", "text", "lang").mapInArrow(grams, "lang string, at binary, n binary").limit(sample).toArrow()
+    data = [(y, np.frombuffer(at, "<i4"), np.frombuffer(n, "<i4")) for y, at, n in zip(*(got.column(i).to_pylist() for i in range(3)), strict=True)]
+    data.sort(key=lambda r: (r[1].tobytes(), r[0]))
+    return fit(data)
 
 
 def predicted(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

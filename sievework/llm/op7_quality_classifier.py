@@ -123,7 +123,7 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", grade.alias("grade")).where("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
 
-def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample: int = 20_000, doc_id: str = "doc_id", text: str = "text") -> Ordinal:
+def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample: int = 10_000, doc_id: str = "doc_id", text: str = "text") -> Ordinal:
     """Fits on at most `sample` rows of ratings(doc_id, grade) and their texts."""
     mark = F.xxhash64(F.col("doc_id").cast("string"), F.lit(13))
     chosen = ratings.orderBy(mark, "doc_id").limit(sample)
@@ -136,9 +136,10 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample: int = 20
 
     rows = pick(docs, doc_id, text).toDF("doc_id", "text").where("text is not null")
     # `sample` ids and grades are broadcast at most; the limit holds if ids are repeated in docs
-    got = rows.join(F.broadcast(chosen), "doc_id").select("text", "grade").mapInArrow(features, "grade int, at binary, x binary").limit(sample).collect()
-    data = [(r.grade, np.frombuffer(r.at, "<i4").astype(np.int64), np.frombuffer(r.x, "<f4")) for r in got]
-    return fit(sorted(data, key=lambda r: (r[1].tobytes(), r[0])), grades)
+    got = rows.join(F.broadcast(chosen), "doc_id").select("text", "grade").mapInArrow(features, "grade int, at binary, x binary").limit(sample).toArrow()
+    data = [(grade, np.frombuffer(at, "<i4"), np.frombuffer(x, "<f4")) for grade, at, x in zip(*(got.column(i).to_pylist() for i in range(3)), strict=True)]
+    data.sort(key=lambda r: (r[1].tobytes(), r[0]))
+    return fit(data, grades)
 
 
 def scored(docs: DataFrame, model: Ordinal, least: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
