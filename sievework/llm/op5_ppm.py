@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sievework.llm.common import crc_of_id, low_words, mixed, pick, small_batches, written
 
-ORDER, MOST, HEAD, FLUSH = 5, 4_000_000, 200_000, 300_000
+ORDER, MOST, HEAD, FLUSH = 5, 3_000_000, 150_000, 200_000
 SLOTS = 1 << 20
 
 
@@ -62,17 +62,21 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.int32) if not len(x) or x.max() < 1 << 31 else x
+
+
 class Level:
     """Pairs (context, byte) and contexts of one length, sorted."""
 
     def __init__(self, pairs: np.ndarray, counts: np.ndarray):
-        self.pairs, self.counts = pairs, counts
+        self.pairs, self.counts = pairs, narrow(counts)
         context = pairs >> np.uint64(8)
         self.first = np.flatnonzero(np.diff(context, prepend=context[:1] ^ np.uint64(1)) != 0) if len(pairs) else np.empty(0, np.int64)
         self.contexts = context[self.first]
-        self.total = np.add.reduceat(counts, self.first) if len(pairs) else counts
-        self.distinct = np.diff(np.append(self.first, len(pairs)))
-        self.below = np.zeros(len(self.contexts), np.int64)  # what its bytes count in the next shorter context
+        self.total = narrow(np.add.reduceat(counts, self.first) if len(pairs) else counts)
+        self.distinct = np.diff(np.append(self.first, len(pairs))).astype(np.int32)
+        self.below = np.zeros(len(self.contexts), np.int32)  # what its bytes count in the next shorter context
 
 
 def found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +96,9 @@ class Ppm:
         for j in range(order, 0, -1):
             up, down = self.levels[j], self.levels[j - 1]
             if len(up.pairs):
-                up.below = np.add.reduceat(down.counts[np.searchsorted(down.pairs, low(up.pairs, j))], up.first)
+                up.below = narrow(np.add.reduceat(down.counts[np.searchsorted(down.pairs, low(up.pairs, j))].astype(np.int64), up.first))
+        for level in self.levels:
+            del level.first
         self.slot_keys = np.zeros(SLOTS, np.uint64)
         self.slot_values = np.full(SLOTS, np.nan)
 
@@ -112,11 +118,11 @@ class Ppm:
             level = self.levels[j]
             at, known = found(level.contexts, low(keys[going], j + 1) >> np.uint64(8))
             pair, seen = found(level.pairs, low(keys[going], j + 1))
-            n = np.where(known, level.total[at] if len(level.contexts) else 0, 0) - gone_n[going]
+            n = np.where(known, level.total[at] if len(level.contexts) else 0, 0).astype(np.int64) - gone_n[going]
             q = np.where(known, level.distinct[at] if len(level.contexts) else 0, 0) - gone_q[going]
             use = known & (q > 0)
             every = np.where(use, 2 * n, 1)
-            top = np.where(seen, 2 * level.counts[pair] - 1 if len(level.pairs) else 0, q)
+            top = np.where(seen, 2 * level.counts[pair].astype(np.int64) - 1 if len(level.pairs) else 0, q)
             out[going[use]] += np.log10(top[use] / every[use])
             gone_n[going] = np.where(known, level.below[at] if len(level.contexts) else 0, 0)
             gone_q[going] = np.where(known, level.distinct[at] if len(level.contexts) else 0, 0)
