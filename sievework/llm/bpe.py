@@ -13,14 +13,15 @@ from __future__ import annotations
 import json
 import unicodedata
 from functools import cache
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 SPACE = "\t-\r \x85\xa0  -     　"
-#: str.split() also splits at these, which are no white space in the pattern's sense.
-ODD = regex.compile("[\x1c-\x1f]")
+#: Arrow also splits at these, which are no white space in the pattern's sense.
+ODD = "[\x1c-\x1f]"
 SPLIT = regex.compile(f"[{SPACE}]+")
 CACHE = 700_000
 MARKS = tuple(",.;:!?")
@@ -121,50 +122,67 @@ class WordBpe:
         order = np.argsort(owner, kind="stable")
         return sym[order].astype("<u4"), np.searchsorted(owner[order], np.arange(len(words) + 1))
 
-    def pieces(self, word: str) -> list[str]:
-        """Pre-tokens of a normalised run; the common cases don't need the pattern."""
-        if word.isalpha():
-            return [word]
-        if word[-1:] in MARKS and word[:-1].isalpha():
-            return [word[:-1], word[-1]]
-        return self.pattern.findall(word)
-
     def learn(self, words: set[str]) -> None:
         """Puts the ids of these white-space-free runs into the cache."""
         special = {w for w in words if "<|" in w and self.special_at and self.special_at.search(w)}
-        plain = [w for w in words if w not in special]
+        plain = list(words.difference(special))
         normal = unicodedata.normalize("NFC", "\n".join(plain)).replace("Σ", "σ").lower().split("\n") if plain else []
-        split = {w: self.pieces(w) for w in set(normal)}
+        plan: list = []  # the pre-tokens of each word: one as itself, more as a list
+        wanted: set[str] = set(MARKS)
+        for x in normal:
+            if x.isalpha():
+                wanted.add(x)
+                plan.append(x)
+            elif x[-1:] in MARKS and x[:-1].isalpha():  # the common cases don't need the pattern
+                wanted.add(x[:-1])
+                plan.append((x[:-1], x[-1]))
+            else:
+                own = self.pattern.findall(x)
+                wanted.update(own)
+                plan.append(own)
         mixed = {w: [p if p in self.special else self.pretokens(p) for p in self.special_at.split(w) if p] for w in special}
-        wanted = set(chain.from_iterable(split.values())).union(*(p for own in mixed.values() for p in own if not isinstance(p, str)))
+        for own in mixed.values():
+            wanted.update(*(p for p in own if not isinstance(p, str)))
         new = list(wanted.difference(self.parts))
         if len(self.parts) + len(new) > CACHE:
             self.parts = {p: self.parts[p] for p in wanted.intersection(self.parts)}
+        parts, cache = self.parts, self.cache
         if new:
             ids, start = self.merge([p.encode("utf-8", "replace") for p in new])
             raw, at = ids.tobytes(), (start * 4).tolist()
-            for k, p in enumerate(new):
-                self.parts[p] = raw[at[k] : at[k + 1]]
-        get, cache = self.parts.__getitem__, self.cache
-        joined = {w: get(own[0]) if len(own) == 1 else b"".join(map(get, own)) for w, own in split.items()}
-        cache.update(zip(plain, map(joined.__getitem__, normal), strict=True))
+            parts.update(zip(new, map(raw.__getitem__, map(slice, at, at[1:])), strict=True))
+        get = parts.__getitem__
+        for w, own in zip(plain, plan, strict=True):
+            cache[w] = get(own) if type(own) is str else b"".join(map(get, own))
         for w, own in mixed.items():
             cache[w] = b"".join(self.special[p].to_bytes(4, "little") if isinstance(p, str) else b"".join(map(get, p)) for p in own)
 
-    def split(self, text: str) -> list[str]:
-        return text.split() if ODD.search(text) is None else [x for x in SPLIT.split(text) if x]
-
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.split(t) if t else [] for t in texts]
-        words = set(chain.from_iterable(split))
-        new = words.difference(self.cache)
+    def encode_batch(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers.
+
+        Words are split and numbered by Arrow, so Python sees each distinct word of the batch once."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if pc.any(pc.match_substring_regex(texts, ODD)).as_py():
+            split = pa.array([SPLIT.split(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+        else:
+            split = pc.utf8_split_whitespace(texts)
+        numbered = split.flatten().dictionary_encode()
+        words, number = numbered.dictionary.to_pylist(), numbered.indices.to_numpy(zero_copy_only=False)
+        new = set(words).difference(self.cache)
+        new.discard("")
         if len(self.cache) + len(new) > CACHE:
-            self.cache = {w: self.cache[w] for w in words.intersection(self.cache)}
+            self.cache = {w: self.cache[w] for w in set(words).intersection(self.cache)}
+        self.cache[""] = b""
         if new:
             self.learn(new)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        ids = list(map(self.cache.__getitem__, words))
+        pool, size = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.cumsum(size) - size
+        own = size[number]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        flat = pool[np.repeat(start[number] - ends[:-1], own) + np.arange(ends[-1])].tobytes()
+        at = (4 * ends[split.offsets.to_numpy() - split.offsets[0].as_py()]).tolist()
+        return [flat[a:b] for a, b in zip(at, at[1:])]
 
     def decode(self, ids: bytes) -> bytes:
         """A vocabulary without a decoder gives its token strings, one space between them."""

@@ -84,7 +84,7 @@ def packed(docs: DataFrame, vocabulary: str, capacity: int = 4096, end: int = 2,
         bpe, full = bpes.shared(vocabulary), 0
         for batch in small_batches(batches, "text"):
             size, crc, before = [], [], []
-            for ids in bpe.encode_batch(batch.column(2).to_pylist()):
+            for ids in bpe.encode_batch(batch.column(2)):
                 ids += tail
                 size.append(len(ids) // 4)
                 crc.append([zlib.crc32(ids[i : i + 4 * capacity]) for i in range(0, len(ids), 4 * capacity)])

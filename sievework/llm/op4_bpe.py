@@ -21,7 +21,7 @@ def encoded(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = bpes.shared(vocabulary)
         for batch in small_batches(batches, "text", 1 << 20):
-            ids = bpe.encode_batch(batch.column(1).to_pylist())
+            ids = bpe.encode_batch(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary())], ["doc_id", "ids", "decoded"])
 
     rows = pick(docs, doc_id, text).toDF("doc_id", "text")
@@ -34,7 +34,7 @@ def digests(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = bpes.shared(vocabulary)
         for batch in small_batches(batches, "text"):
-            ids = bpe.encode_batch(batch.column(1).to_pylist())
+            ids = bpe.encode_batch(batch.column(1))
             sha = [hashlib.sha256(x).hexdigest() for x in ids]
             back = [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
