@@ -25,7 +25,7 @@ ODD = "[\x1c-\x1f]"
 SPLIT = regex.compile(f"[{SPACE}]+")
 CACHE = 700_000
 MARKS = tuple(",.;:!?")
-NONE = np.iinfo(np.int64).max
+NONE = np.iinfo(np.int32).max
 
 
 def byte_letters() -> list[str]:
@@ -53,8 +53,8 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         letters = byte_letters()
-        self.first = np.array([vocab[c] for c in letters], np.int64)
-        self.last = np.array([vocab[c + suffix] for c in letters], np.int64)
+        self.first = np.array([vocab[c] for c in letters], np.int32)
+        self.last = np.array([vocab[c + suffix] for c in letters], np.int32)
         size = 1 + max([*vocab.values(), *self.special.values()])
         self.tokens: list[bytes] = [b""] * size
         for t, i in (vocab | self.special).items():
@@ -62,10 +62,10 @@ class WordBpe:
         merges = model["merges"]
         a = np.array([vocab[x] for x, _ in merges], np.int64)
         b = np.array([vocab[y] for _, y in merges], np.int64)
-        made = np.array([vocab[x + y] for x, y in merges], np.int64)
+        made = np.array([vocab[x + y] for x, y in merges], np.int32)
         keys = (a << 20) | b
         order = np.argsort(keys)
-        self.keys, self.rank_of_key, self.made = keys[order], order.astype(np.int64), made
+        self.keys, self.rank_of_key, self.made = keys[order], order.astype(np.int32), made
         self.parts: dict[str, bytes] = {}
         self.cache: dict[str, bytes] = {}
 
@@ -78,7 +78,7 @@ class WordBpe:
         inside = at + 1 < len(sym)
         at = np.where(inside, at, 0)
         after = np.where(inside, at + 1, 0)
-        key = (sym[at] << 20) | sym[after]
+        key = (sym[at].astype(np.int64) << 20) | sym[after]
         place = np.searchsorted(self.keys, key)
         place[place == len(self.keys)] = 0
         hit = inside & (owner[at] == owner[after]) & (self.keys[place] == key)
@@ -88,7 +88,7 @@ class WordBpe:
         """Ids of all words in one array, and where each word begins (one more entry for the end)."""
         sizes = np.array([len(w) for w in words], np.int64)
         flat = np.frombuffer(b"".join(words), np.uint8)
-        owner = np.repeat(np.arange(len(words)), sizes)
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         sym = self.first[flat]
         ends = np.cumsum(sizes) - 1
         sym[ends] = self.last[flat[ends]]
@@ -97,9 +97,11 @@ class WordBpe:
         while len(sym):
             starts = np.flatnonzero(np.diff(owner, prepend=-1))
             sizes = np.diff(np.append(starts, len(sym)))
-            best = np.repeat(np.minimum.reduceat(rank, starts), sizes)
+            best = np.minimum.reduceat(rank, starts)
             going = best < NONE
+            best = np.repeat(best, sizes)
             if not going.all():
+                going = np.repeat(going, sizes)
                 done_sym.append(sym[~going])
                 done_owner.append(owner[~going])
                 sym, owner, rank, best = sym[going], owner[going], rank[going], best[going]
@@ -118,7 +120,7 @@ class WordBpe:
             new = left - np.arange(len(left))  # where the merged symbols are now
             again = np.concatenate([new, new[new > 0] - 1])
             rank[again] = self.rank(sym, owner, again)
-        sym, owner = np.concatenate([*done_sym, np.empty(0, np.int64)]), np.concatenate([*done_owner, np.empty(0, np.int64)])
+        sym, owner = np.concatenate([*done_sym, np.empty(0, np.int32)]), np.concatenate([*done_owner, np.empty(0, np.int32)])
         order = np.argsort(owner, kind="stable")
         return sym[order].astype("<u4"), np.searchsorted(owner[order], np.arange(len(words) + 1))
 

@@ -82,7 +82,7 @@ def packed(docs: DataFrame, vocabulary: str, capacity: int = 4096, end: int = 2,
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, full = bpes.shared(vocabulary), 0
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", 6 << 20):
             size, crc, before = [], [], []
             for ids in bpe.encode_batch(batch.column(2)):
                 ids += tail

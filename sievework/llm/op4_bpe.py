@@ -33,7 +33,7 @@ def digests(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = bpes.shared(vocabulary)
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", 6 << 20):
             ids = bpe.encode_batch(batch.column(1))
             sha = [hashlib.sha256(x).hexdigest() for x in ids]
             back = [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]
