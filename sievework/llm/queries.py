@@ -95,6 +95,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from sievework.llm import op8_quality_rules as rules
+    from sievework.llm import op8_quality_rules, op9_jaccard_join
 
-    return {"op8_quality_rules": rules.SQL}
+    return {"op8_quality_rules": op8_quality_rules.SQL, "op9_jaccard_join": op9_jaccard_join.SQL}
