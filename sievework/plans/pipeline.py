@@ -210,6 +210,6 @@ def run_seed(spark: SparkSession, detections: DataFrame, output: str, categories
     if not paths:
         return {"downloaded": 0, "processed": 0, "failed": 0, "output_dir": output}
     raw = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", r"^file:/+", "/").alias("path"), "content")
-    listed = sinks.export_numbered(files.pixels(spark, raw, paths), output, side, 92, clean=False)
+    listed = sinks.export_numbered(files.pixels(spark, raw, paths, upright=False), output, side, 92, clean=False)  # seeds are cropped as stored
     n = listed.count()
     return {"downloaded": len(paths), "processed": n, "failed": len(paths) - n, "output_dir": output}

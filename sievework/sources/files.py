@@ -81,8 +81,8 @@ def with_digest(assets: DataFrame) -> DataFrame:
     return assets.withColumn("sha256", sha256_hex("content"))
 
 
-def pixels(spark: SparkSession, assets: DataFrame, paths: list[str]) -> DataFrame:
-    """(path, image): decoded RGB with its size, upright by EXIF; null where no decoder reads the file.
+def pixels(spark: SparkSession, assets: DataFrame, paths: list[str], upright: bool = True) -> DataFrame:
+    """(path, image): decoded RGB with its size, upright by EXIF unless told not to; null where no decoder reads the file.
 
     PNG is decoded from the bytes at hand; other formats go through the JVM's readers in the image source."""
     jvm = spark.read.format("image").option("recursiveFileLookup", "true").load(paths).select("image.*") if paths else None
@@ -90,7 +90,7 @@ def pixels(spark: SparkSession, assets: DataFrame, paths: list[str]) -> DataFram
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [_packed(codecs.from_png(x) if x else None) for x in batch.column(1).to_pylist()]
-            turn = [codecs.orientation(x or b"") for x in batch.column(1).to_pylist()]
+            turn = [codecs.orientation(x or b"") if upright else 1 for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(turn, pa.int32())], ["path", "image", "turn"])
 
     first = assets.select("path", "content").mapInArrow(decode, "path string, image binary, turn int")
