@@ -47,6 +47,21 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2 <
             start = stop
 
 
+def most_frequent(df: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows with the highest counts, at most `most` of them.
+
+    The threshold comes from a histogram of logarithmic levels (a thousand rows at most), so no task has to hold
+    or sort that many rows; rows of the level that would exceed the bound stay out."""
+    level = F.floor(F.log2(F.col(count)) * 16)
+    least, total = None, 0
+    for row in sorted(df.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        total += row.n
+        if total > most:
+            break
+        least = row.level
+    return df.where(level >= least) if least is not None else df.where(F.lit(False))
+
+
 def low_words(text: str | None) -> list[bytes]:
     """Words with A-Z lower-cased; bytes.lower() and bytes.split() touch ASCII only."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

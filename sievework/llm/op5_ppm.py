@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import crc_of_id, low_words, mixed, pick, small_batches, written
+from sievework.llm.common import crc_of_id, low_words, mixed, most_frequent, pick, small_batches, written
 
 ORDER, MOST, HEAD, FLUSH = 5, 3_000_000, 150_000, 200_000
 SLOTS = 1 << 20
@@ -210,7 +210,7 @@ def scored(docs: DataFrame, train: DataFrame, order: int = ORDER, most: int = MO
     total, distinct = (sums.n or 0) + ends, sums.v + (ends > 0)
     floor = total + 0.1 * (distinct + 1)
     log = lambda c: math.log10((c + 0.1) / floor)
-    top = words.where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(head).toArrow()
+    top = most_frequent(words.where(F.length("word") <= 64), "n", head).toArrow()
     shared = context.broadcast(dict(zip(top.column("word").to_pylist(), map(log, top.column("n").to_pylist()), strict=True)))
     end, end_known = log(ends), int(ends > 0)
 

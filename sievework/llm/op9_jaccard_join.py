@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.common import Remembered, low_words, pick, shingle_hashes, small_batches, written
+from sievework.llm.common import Remembered, low_words, most_frequent, pick, shingle_hashes, small_batches, written
 from sievework.operators.graph import connected_components
 
 SHINGLE, PERCENT = 5, 75
@@ -137,7 +137,7 @@ def similar_items(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
 
     sets = written(rows.select("doc_id", "text", "row").mapInArrow(measure, f"row long, doc_id {kind}, n long, item binary, shingle long, times long"), "sets")
     often = sets.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= FREQUENT)
-    top = often.orderBy(F.desc("times"), "shingle").limit(MOST_FREQUENT).toArrow()
+    top = most_frequent(often, "times", MOST_FREQUENT).toArrow()
     value, times = top.column("shingle").to_numpy().view(np.uint64), top.column("times").to_numpy()
     order = np.argsort(value)
     frequent = spark.sparkContext.broadcast((value[order], times[order]))  # MOST_FREQUENT pairs at most; any order gives right results
