@@ -188,9 +188,9 @@ def similar_items(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
 
     some = small.groupBy("item").agg(F.sum(_weight("block", "p")).alias("small"))
     ranked = written(large.join(part, "item").join(some, "item", "left").withColumn("small", F.coalesce("small", F.lit(0))), "large-blocks")
-    hub = ranked.groupBy("block").agg(F.max(F.struct("meets", "item", "n", "p", (F.col("in_large") + F.col("small")).alias("all"))).alias("hub")).select("block", "hub")
+    hub = ranked.groupBy("block").agg(F.max(F.struct("meets", "item", "n", "p", "in_large", "small")).alias("hub")).select("block", "hub")
     spokes = ranked.join(hub, "block").where((F.col("item") != F.col("hub.item")) & _sized(F.col("n"), F.col("hub.n"), percent))
-    enough = F.least(F.col("in_large") + F.col("small"), F.col("hub.all")) >= _least_shared(F.col("n"), F.col("hub.n"), F.col("p"), F.col("hub.p"), percent)
+    enough = F.least("in_large", "hub.in_large") + F.least("small", "hub.small") >= _least_shared(F.col("n"), F.col("hub.n"), F.col("p"), F.col("hub.p"), percent)
     hub_pairs = spokes.where(enough).select(F.least("item", "hub.item").alias("a"), F.greatest("item", "hub.item").alias("b"))
     first = written(pairs.union(hub_pairs).distinct(), "candidates")
 
@@ -242,8 +242,8 @@ def similar_items(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
         reach = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
         once = (F.col("y.component") == F.col("y.main")) | (F.col("x.item") < F.col("y.item"))
         wanted = _least_shared(*[F.col(c) for c in ("x.n", "y.n", "x.p", "y.p")], percent)
-        met = F.least(F.col("x.open") + F.col("x.small"), F.col("y.open") + F.col("y.small")) >= wanted
-        early = F.col("x.open") + F.col("x.small") - F.col("x.before") >= wanted
+        met = F.least("x.open", "y.open") + F.least("x.small", "y.small") >= wanted
+        early = F.least(F.col("x.open") - F.col("x.before"), F.col("y.open") - F.col("y.before")) + F.least("x.small", "y.small") >= wanted
         late = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.component") != F.col("y.component")) & _sized(F.col("x.n"), F.col("y.n"), percent) & once & met & early & reach)
         late = late.select(F.least("x.item", "y.item").alias("a"), F.greatest("x.item", "y.item").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
         # what each pair really shares, from the items' own lists (no longer than their prefixes)
