@@ -33,7 +33,7 @@ from sievework.operators.graph import connected_components
 
 SHINGLE, PERCENT = 5, 75
 FREQUENT, MOST_FREQUENT, CHUNK = 9, 1_000_000, 4_000_000
-BLOCK = 8
+BLOCK, NOTED = 8, 7
 #: As many row numbers are broadcast at most; beyond that the join is shuffled.
 BROADCAST_ROWS = 2_000_000
 
@@ -68,10 +68,10 @@ def _sized(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _possible(shared: Column, other: str, percent: int) -> Column:
+def _possible(shared: Column, other: str | None, percent: int) -> Column:
     """Whether a and b can still be similar: they share so many prefix shingles, and at most so many more in blocks
     of the other kind."""
-    more = F.least(F.coalesce(f"{other}_a", F.lit(0)), F.coalesce(f"{other}_b", F.lit(0)))
+    more = F.least(F.coalesce(f"{other}_a", F.lit(0)), F.coalesce(f"{other}_b", F.lit(0))) if other else F.lit(0)
     return shared + more >= _least_shared(*[F.col(c) for c in ("n_a", "n_b", "p_a", "p_b")], percent)
 
 
@@ -184,14 +184,19 @@ def similar_items(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     pairs = pairs.groupBy(F.col("a.item").alias("a"), F.col("b.item").alias("b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"), F.col("a.p").alias("p_a"), F.col("b.p").alias("p_b")).agg(shared)
     for side in "ab":
         pairs = pairs.join(part.select(F.col("item").alias(side), F.col("in_large").alias(f"large_{side}")), side, "left")
-    pairs = pairs.where(_possible(F.col("shared"), "large", percent)).select("a", "b")
+    # pairs that share more small blocks than NOTED are kept with their count: what a pair not listed shares is bounded
+    counted = written(pairs.where(_possible(F.col("shared"), "large", percent) | (F.col("shared") > NOTED)), "shared")
+    pairs = counted.where(_possible(F.col("shared"), "large", percent)).select("a", "b")
+    counted = counted.select("a", "b", F.col("shared").alias("in_small"))
+    in_small = F.coalesce("in_small", F.lit(NOTED))
 
     some = small.groupBy("item").agg(F.sum(_weight("block", "p")).alias("small"))
     ranked = written(large.join(part, "item").join(some, "item", "left").withColumn("small", F.coalesce("small", F.lit(0))), "large-blocks")
     hub = ranked.groupBy("block").agg(F.max(F.struct("meets", "item", "n", "p", "in_large", "small")).alias("hub")).select("block", "hub")
     spokes = ranked.join(hub, "block").where((F.col("item") != F.col("hub.item")) & _sized(F.col("n"), F.col("hub.n"), percent))
-    enough = F.least("in_large", "hub.in_large") + F.least("small", "hub.small") >= _least_shared(F.col("n"), F.col("hub.n"), F.col("p"), F.col("hub.p"), percent)
-    hub_pairs = spokes.where(enough).select(F.least("item", "hub.item").alias("a"), F.greatest("item", "hub.item").alias("b"))
+    wanted = _least_shared(F.col("n"), F.col("hub.n"), F.col("p"), F.col("hub.p"), percent).alias("wanted")
+    hub_pairs = spokes.select(F.least("item", "hub.item").alias("a"), F.greatest("item", "hub.item").alias("b"), F.least("in_large", "hub.in_large").alias("in_large"), F.least("small", "hub.small").alias("small"), wanted)
+    hub_pairs = hub_pairs.where("in_large + small >= wanted").distinct().join(counted, ["a", "b"], "left").where(F.col("in_large") + F.least("small", in_small) >= F.col("wanted")).select("a", "b")
     first = written(pairs.union(hub_pairs).distinct(), "candidates")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +256,7 @@ def similar_items(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
         for side in "ab":
             late = late.join(lists.select(*[F.col(c).alias(side if c == "item" else f"{c}_{side}") for c in lists.columns]), side)
         shared = F.size(F.array_intersect("at_a", "at_b")) + F.when(F.col("g_a") == F.col("g_b"), F.col("p_a")).otherwise(0)
-        late = late.where(_possible(shared, "small", percent)).select("a", "b")
+        late = late.join(counted, ["a", "b"], "left").where(_possible(shared, "small", percent) & _possible(shared + in_small, None, percent)).select("a", "b")
         late = written(late, "late-candidates")
         links = links.union(written(compared(late), "compared").where(linked))
     return own, links
