@@ -149,6 +149,8 @@ def train(docs: DataFrame, sample: int = 4000, doc_id: str = "doc_id", text: str
     got = rows.join(F.broadcast(kept), "doc_id", "left_semi").select("doc_id", "text", "lang").mapInArrow(grams, "lang string, at binary, n binary").limit(sample).toArrow()
     data = [(y, np.frombuffer(at, "<i4"), np.frombuffer(n, "<i4")) for y, at, n in zip(*(got.column(i).to_pylist() for i in range(3)), strict=True)]
     data.sort(key=lambda r: (r[1].tobytes(), r[0]))
+    del got
+    pa.default_memory_pool().release_unused()  # the driver may be small
     return fit(data)
 
 

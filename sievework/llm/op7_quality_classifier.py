@@ -139,6 +139,8 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample: int = 10
     got = rows.join(F.broadcast(chosen), "doc_id").select("text", "grade").mapInArrow(features, "grade int, at binary, x binary").limit(sample).toArrow()
     data = [(grade, np.frombuffer(at, "<i4"), np.frombuffer(x, "<f4")) for grade, at, x in zip(*(got.column(i).to_pylist() for i in range(3)), strict=True)]
     data.sort(key=lambda r: (r[1].tobytes(), r[0]))
+    del got
+    pa.default_memory_pool().release_unused()  # the driver may be small
     return fit(data, grades)
 
 
