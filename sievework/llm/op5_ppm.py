@@ -4,8 +4,11 @@ The model codes the bytes of the lower-cased words, one space between them and a
 of byte contexts is pretrained on the training rows: all counts come from the runs of `order` + 1 bytes, summed
 over the corpus. A byte is coded in the longest known context; an unseen byte escapes (method D: half a count of
 each distinct byte goes to the escape) to the next shorter one, where the bytes of the longer context are excluded, down to
-all 256 bytes. So each text has a proper probability. The trie is a set of sorted arrays; if it would have
-more than `most` entries, the order is lowered until it fits, which bounds the broadcast.
+all 256 bytes. So each text has a proper probability. The order is the same for every corpus, and the trie is never
+in one place: the runs lie in a table, dealt out by the two bytes before the coded one, so that one part has all longer
+contexts of its bytes, as sorted arrays; the levels below are the same for all parts (65,536 runs of two bytes at most).
+The values of the `runs` most frequent runs are broadcast. What a document has besides is counted by run, valued in the
+parts and joined to it by a shuffle.
 
 Word counts of the whole corpus are joined to each document's words: the `head` most frequent words in the scan
 (a fixed number of short words), all others by a shuffle join.
@@ -23,13 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.llm.common import crc_of_id, low_words, mixed, most_frequent, pick, small_batches, written
 
-ORDER, MOST, HEAD, FLUSH = 5, 3_000_000, 150_000, 200_000
+ORDER, RUNS, HEAD, FLUSH = 5, 2_000_000, 150_000, 200_000
 SLOTS = 1 << 20
+DEALT = 2  # bytes before the coded one that deal out the runs
 
 
 def coded(words: list[bytes]) -> bytes:
@@ -86,28 +90,56 @@ def found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
-class Ppm:
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int):
+class Values:
+    """Values of runs; those met before come from a table of fixed size."""
+
+    slot_keys = slot_values = None
+
+    def values(self, key: np.ndarray) -> np.ndarray:
+        if self.slot_keys is None:
+            self.slot_keys, self.slot_values = np.zeros(SLOTS, np.uint64), np.full(SLOTS, np.nan)
+        slot = (mixed(key) >> np.uint64(64 - 20)).astype(np.int64)
+        value = np.where(self.slot_keys[slot] == key, self.slot_values[slot], np.nan)
+        missed = np.flatnonzero(np.isnan(value))
+        if len(missed):
+            new, back = np.unique(key[missed], return_inverse=True)
+            made = self.evaluate(new)
+            value[missed] = made[back]
+            at = (mixed(new) >> np.uint64(64 - 20)).astype(np.int64)
+            self.slot_keys[at], self.slot_values[at] = new, made
+        return value
+
+
+class Head(Values):
+    """Known values of some runs; nan for others."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.known = keys[order], values[order]
+
+    def evaluate(self, keys: np.ndarray) -> np.ndarray:
+        at, known = found(self.keys, keys)
+        return np.where(known, self.known[at] if len(self.keys) else np.nan, np.nan)
+
+
+class Ppm(Values):
+    """The trie of some runs. With `base`, the trie of the shortest contexts of the whole corpus, the runs are all those
+    that end in some contexts one byte longer than the base's, and only these contexts are asked for."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int, base: Ppm | None = None):
         self.order = order
         self.levels: list[Level] = [None] * (order + 1)
-        for j in range(order, -1, -1):
+        least = len(base.levels) if base else 0
+        for j in range(order, least - 1, -1):
             keys, counts = summed(low(keys, j + 1), counts)
             self.levels[j] = Level(keys, counts)
-        for j in range(order, 0, -1):
+        self.levels[:least] = base.levels if base else []
+        for j in range(order, max(least, 1) - 1, -1):
             up, down = self.levels[j], self.levels[j - 1]
             if len(up.pairs):
                 up.below = narrow(np.add.reduceat(down.counts[np.searchsorted(down.pairs, low(up.pairs, j))].astype(np.int64), up.first))
-        for level in self.levels:
+        for level in self.levels[least:]:
             del level.first
-        self.slot_keys = np.zeros(SLOTS, np.uint64)
-        self.slot_values = np.full(SLOTS, np.nan)
-
-    def __getstate__(self) -> dict:
-        return {"order": self.order, "levels": self.levels}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self.slot_keys, self.slot_values = np.zeros(SLOTS, np.uint64), np.full(SLOTS, np.nan)
 
     def evaluate(self, keys: np.ndarray) -> np.ndarray:
         """log10 P(last byte | bytes before) for each key."""
@@ -131,19 +163,10 @@ class Ppm:
         return out
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        """log10 of each text's probability. Values of contexts met before come from a table of fixed size."""
+        """log10 of each text's probability."""
         key, sizes = contexts(texts, self.order)
-        slot = (mixed(key) >> np.uint64(64 - 20)).astype(np.int64)
-        value = np.where(self.slot_keys[slot] == key, self.slot_values[slot], np.nan)
-        missed = np.flatnonzero(np.isnan(value))
-        if len(missed):
-            new, back = np.unique(key[missed], return_inverse=True)
-            made = self.evaluate(new)
-            value[missed] = made[back]
-            at = (mixed(new) >> np.uint64(64 - 20)).astype(np.int64)
-            self.slot_keys[at], self.slot_values[at] = new, made
         ends = np.cumsum(sizes)
-        return np.add.reduceat(value, ends - sizes) if len(sizes) else value
+        return np.add.reduceat(self.values(key), ends - sizes) if len(sizes) else np.zeros(0)
 
 
 def word_table(train: DataFrame) -> DataFrame:
@@ -188,23 +211,84 @@ def run_table(train: DataFrame, order: int) -> DataFrame:
     return train.mapInArrow(gather, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def trained(train: DataFrame, order: int = ORDER, most: int = MOST) -> Ppm:
-    """The trie over train(text), of at most `most` pairs of the longest context."""
+def trained(train: DataFrame, order: int = ORDER, *, most: int) -> Ppm:
+    """The whole trie in one place, of a lower order if it would have over `most` runs; scored() has no use for it."""
     table = written(run_table(train, order), "byte-runs")
     while order and table.count() > most:
         order -= 1
         table = table.select(F.col("key").bitwiseAND((1 << 8 * (order + 1)) - 1).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))
     got = table.toArrow()
-    return Ppm(got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy(), order)
-
-
-def scored(docs: DataFrame, train: DataFrame, order: int = ORDER, most: int = MOST, head: int = HEAD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    return Ppm(*_runs(got), order)
+
+
+def _runs(got: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy()
+
+
+def in_context(runs: DataFrame) -> DataFrame:
+    """runs(key, n) with the count of each run's context, `total`; a context has 256 runs at most."""
+    return runs.withColumn("total", F.sum("n").over(Window.partitionBy(F.shiftrightunsigned("key", 8))))
+
+
+def top_values(table: DataFrame, runs: int) -> Head:
+    """The values of the most frequent runs of table(key, n, total), at most `runs` of them."""
+    got = most_frequent(table, "n", runs).toArrow()
+    keys, n = _runs(got)
+    head = Head(keys, np.log10((2 * n - 1) / (2 * got.column("total").to_numpy())))  # the longest context has them
+    del got, keys, n
+    pa.default_memory_pool().release_unused()  # the driver may be small
+    return head
+
+
+def run_values(table: DataFrame, asked: DataFrame, order: int) -> DataFrame:
+    """(key, value) for the runs asked(key), which are distinct, in the trie of table(key, n)."""
+    spark = table.sparkSession
+    dealt = min(DEALT, order)
+    base = None
+    if dealt:  # 256 ** dealt rows at most
+        short = table.groupBy(F.col("key").bitwiseAND((1 << 8 * dealt) - 1).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+        base = spark.sparkContext.broadcast(Ppm(*_runs(short), dealt - 1))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, asked = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        for batch in batches:
+            key, n = _runs(pa.table(batch))
+            keys.append(key[n > 0])
+            counts.append(n[n > 0])
+            asked.append(key[n == 0])
+        want = np.concatenate(asked)
+        if not len(want):
+            return
+        ppm = Ppm(np.concatenate(keys), np.concatenate(counts), order, base.value if base else None)
+        for i in range(0, len(want), FLUSH):
+            own = want[i : i + FLUSH]
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(ppm.evaluate(own))], ["key", "value"])
+
+    both = table.select("key", "n").unionByName(asked.select("key", F.lit(0).cast("long").alias("n")))
+    near = F.shiftrightunsigned("key", 8).bitwiseAND((1 << 8 * dealt) - 1)
+    return both.repartition(near).mapInArrow(part, "key long, value double")
+
+
+def unvalued(key: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """For each text the runs without a value, with their frequencies."""
+    at = np.flatnonzero(np.isnan(value))
+    text, key = np.searchsorted(np.cumsum(sizes), at, side="right"), key[at].view(np.int64)
+    order = np.lexsort((key, text))
+    text, key = text[order], key[order]
+    first = np.flatnonzero(np.append(True, (np.diff(text) != 0) | (np.diff(key) != 0))) if len(at) else at
+    times = np.diff(np.append(first, len(at)))
+    ends = np.searchsorted(text[first], np.arange(len(sizes) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(key[first]), pa.array(times)], ["key", "n"]))
+
+
+def scored(docs: DataFrame, train: DataFrame, order: int = ORDER, runs: int = RUNS, head: int = HEAD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs."""
     spark = docs.sparkSession
     context = spark.sparkContext
     train = pick(train, text).toDF("text").select(F.coalesce("text", F.lit("")).alias("text"))
     words = written(word_table(train), "words")
-    model = context.broadcast(trained(train, order, most))
+    trie = written(in_context(run_table(train, order)), "byte-runs")
+    model = context.broadcast(top_values(trie, runs))
     ends = train.count()
     sums = words.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
     total, distinct = (sums.n or 0) + ends, sums.v + (ends > 0)
@@ -226,24 +310,31 @@ def scored(docs: DataFrame, train: DataFrame, order: int = ORDER, most: int = MO
                 base.append(math.fsum(v for v in values if v is not None) + end)
                 here.append(len(own) - sum(late.values()) + end_known)
                 rest.append([{"word": w, "n": n} for w, n in late.items()])
-            score = ppm.scores([coded(x) for x in split])
-            columns = [pa.array([len(x) + 1 for x in split], pa.int64()), pa.array(here, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rest, kind)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["row", "doc_id", "n_tokens", "known", "base", "score", "rest"])
+            key, sizes = contexts([coded(x) for x in split], order)
+            value = ppm.values(key)
+            score = np.add.reduceat(np.nan_to_num(value, nan=0.0), np.cumsum(sizes) - sizes)
+            columns = [pa.array([len(x) + 1 for x in split], pa.int64()), pa.array(here, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rest, kind), unvalued(key, value, sizes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["row", "doc_id", "n_tokens", "known", "base", "score", "rest", "runs"])
 
     rows = pick(docs, doc_id, text).toDF("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    reduced = written(rows.mapInArrow(per_document, f"row long, doc_id {kind}, n_tokens long, known long, base double, score double, rest array<struct<word: binary, n: long>>"), "word-frequencies")
+    result = f"row long, doc_id {kind}, n_tokens long, known long, base double, score double, rest array<struct<word: binary, n: long>>, runs array<struct<key: long, n: long>>"
+    reduced = written(rows.mapInArrow(per_document, result), "word-frequencies")
     late = reduced.select("row", F.explode("rest").alias("r")).select("row", "r.word", F.col("r.n").alias("times")).join(words, "word", "left")
     c = F.coalesce(F.col("n"), F.lit(0))
-    parts = late.groupBy("row").agg(F.sum(F.col("times") * F.log10((c + 0.1) / floor)).alias("late_base"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("late_known"))
-    out = reduced.drop("rest").join(parts, "row", "left")
+    late = late.select("row", (F.col("times") * F.log10((c + 0.1) / floor)).alias("base"), F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("known"), F.lit(0.0).alias("score"))
+    runs_left = reduced.select("row", F.explode("runs").alias("r")).select("row", "r.key", F.col("r.n").alias("times"))
+    valued = runs_left.join(run_values(trie, runs_left.select("key").distinct(), order), "key")
+    late = late.unionByName(valued.select("row", F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known"), (F.col("times") * F.col("value")).alias("score")))
+    parts = late.groupBy("row").agg(F.sum("base").alias("late_base"), F.sum("known").alias("late_known"), F.sum("score").alias("late_score"))
+    out = reduced.drop("rest", "runs").join(parts, "row", "left")
     return out.select(
         "doc_id", "n_tokens",
         (F.col("known") + F.coalesce("late_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("late_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("late_score", F.lit(0.0))).alias("score"),
     )
 
 

@@ -198,6 +198,28 @@ def test_a_smaller_trie_lowers_the_order(spark, table):
     assert op5_ppm.trained(table.select("text"), order=4, most=300).order < 4
 
 
+@pytest.mark.parametrize("order", [0, 1, 4])
+@pytest.mark.parametrize("runs", [0, 40])
+def test_scores_from_the_dealt_trie_equal_the_whole_one(spark, table, order, runs):
+    train = table.where("n % 3 <> 0")
+    got = by_text(op5_ppm.scored(table, train, order=order, runs=runs), table, "score")
+    keys, _ = op5_ppm.contexts([op5_ppm.coded(op5_ppm.low_words(x)) for i, x in enumerate(texts()) if i % 3], order)
+    model = op5_ppm.Ppm(*np.unique(keys, return_counts=True), order)
+    assert got and np.allclose([s for _, s in got], model.scores([op5_ppm.coded(op5_ppm.low_words(x)) for x, _ in got]), rtol=1e-9)
+
+
+def test_a_rich_corpus_keeps_the_order(spark):
+    """More than three million different runs: longer contexts still count."""
+    rng = np.random.default_rng(3)
+    rows = [(i, bytes(rng.integers(97, 123, 40_000, np.uint8)).decode()) for i in range(85)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.score for r in op5_ppm.scored(docs.where("doc_id < 5 or doc_id = 84"), docs.where("doc_id < 84")).collect()}
+    keys, counts = np.unique(op5_ppm.contexts([op5_ppm.coded([x.encode()]) for i, x in rows if i < 84], 5)[0], return_counts=True)
+    assert len(keys) > 3_000_000
+    want = op5_ppm.Ppm(keys, counts, 5).scores([op5_ppm.coded([rows[i][1].encode()]) for i in sorted(got)])
+    assert len(got) == 6 and np.allclose([got[i] for i in sorted(got)], want, rtol=1e-9)
+
+
 def test_language_prediction(spark, table, empty, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = docs.select("doc_id", op3_langid.held_out(docs).alias("out"), "lang")
