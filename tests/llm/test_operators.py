@@ -277,6 +277,13 @@ def test_quality_classifier(spark, table, empty, sf):
     assert op7_quality_classifier.scored(empty, blank).count() == 0
 
 
+def test_quality_classifier_learns_from_20_000_rows(spark, monkeypatch):
+    monkeypatch.setattr(op7_quality_classifier, "fit", lambda rows, grades: [g for g, _, _ in rows])
+    docs = spark.range(20_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    got = op7_quality_classifier.train(docs, docs.select("doc_id", (F.col("doc_id") % 3).cast("int").alias("grade")))
+    assert len(got) == 20_000 and set(got) == {0, 1, 2}
+
+
 def test_thresholds_are_ordered_and_grades_separate():
     rng = np.random.default_rng(0)
     rows = [(g, np.array([g, 10 + int(rng.integers(50))]), np.ones(2, np.float32)) for g in rng.integers(0, 4, 800)]
