@@ -22,6 +22,8 @@ import regex
 SPACE = "\t-\r \x85\xa0  -     　"
 #: Arrow also splits at these, which are no white space in the pattern's sense.
 ODD = "[\x1c-\x1f]"
+#: Arrow's splitter decodes one character behind a text that ends in white space, so the last text needs one after it.
+GUARD = pa.array(["." * 64])
 SPLIT = regex.compile(f"[{SPACE}]+")
 CACHE = 700_000
 MARKS = tuple(",.;:!?")
@@ -129,6 +131,8 @@ class WordBpe:
         special = {w for w in words if "<|" in w and self.special_at and self.special_at.search(w)}
         plain = list(words.difference(special))
         normal = unicodedata.normalize("NFC", "\n".join(plain)).replace("Σ", "σ").lower().split("\n") if plain else []
+        if len(normal) != len(plain):  # some word holds a newline after all
+            normal = [unicodedata.normalize("NFC", w).replace("Σ", "σ").lower() for w in plain]
         plan: list = []  # the pre-tokens of each word: one as itself, more as a list
         wanted: set[str] = set(MARKS)
         for x in normal:
@@ -167,7 +171,8 @@ class WordBpe:
         if pc.any(pc.match_substring_regex(texts, ODD)).as_py():
             split = pa.array([SPLIT.split(t) for t in texts.to_pylist()], pa.list_(pa.string()))
         else:
-            split = pc.utf8_split_whitespace(texts)
+            texts = texts.cast(pa.string())
+            split = pc.utf8_split_whitespace(pa.concat_arrays([texts, GUARD])).slice(0, len(texts))
         numbered = split.flatten().dictionary_encode()
         words, number = numbered.dictionary.to_pylist(), numbered.indices.to_numpy(zero_copy_only=False)
         new = set(words).difference(self.cache)

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +127,21 @@ def test_bpe_cache_overflow_changes_nothing(monkeypatch):
         assert np.frombuffer(coder.encode_batch([x])[0], "<u4").tolist() == tokenizer.encode(x or "", add_special_tokens=False).ids
 
 
+def test_bpe_of_batches_that_end_in_white_space():
+    """Value buffers of every size, multiples of 64 bytes among them, whose last text ends in white space."""
+    coder, tokenizer, rng = bpe.WordBpe(vocabulary("word_bpe_49k.json")), word_tokenizer(), random.Random(9)
+    ids = lambda x: tokenizer.encode(x, add_special_tokens=False).ids
+    known = {(n, e): ids("a" * (n - len(e)) + e) for n in (63, 64, 65, 128, 192, 4096) for e in ("\n", "\t", " \n", "\u3000")}
+    for _ in range(200):
+        for (n, e), want in known.items():
+            assert np.frombuffer(coder.encode_batch(pa.array(["a" * (n - len(e)) + e]))[0], "<u4").tolist() == want
+    for _ in range(2000):
+        own = ["".join(rng.choice("ab,é ") for _ in range(rng.randrange(40))) + rng.choice(["\n", " ", "\t\n", "\xa0"]) for _ in range(rng.randrange(1, 5))]
+        assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode_batch(pa.array([None, *own]).slice(1))] == list(map(ids, own))
+    coder.learn({"x\ny", "b\n", "plain"})
+    assert np.frombuffer(coder.cache["x\ny"], "<u4").tolist() == ids("x\ny") and np.frombuffer(coder.cache["b\n"], "<u4").tolist() == ids("b\n")
+
+
 @pytest.mark.parametrize("head", [3, 1000])
 def test_token_counts_equal_the_library(table, empty, head):
     import sentencepiece
