@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sievework.plans.scratch import written
@@ -27,15 +27,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     loops = pairs.where("u = v").select("u").distinct()
-    mark = F.struct(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).alias("mark")
-    stars = written(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    last = stars.agg(mark).first().mark
+    mark = [F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("sum")]
+
+    def kept(edges: DataFrame) -> tuple[DataFrame, dict]:
+        """The edges, written, and a checksum that is taken on the way."""
+        seen = Observation()
+        return written(edges.observe(seen, *mark), "edges"), seen.get
+
+    stars, last = kept(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(most_rounds):
         large = _lowest(_both(stars)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _lowest(large.where("v < u"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        stars = written(small, "edges")
-        now = stars.agg(mark).first().mark
+        stars, now = kept(small)
         if now == last:
             break
         last = now
