@@ -35,25 +35,34 @@ def masked(inputs: DataFrame, unkept: DataFrame, by_root: bool = False) -> DataF
     return inputs.join(unkept.select(*keys).distinct(), keys, "left_anti")
 
 
+def _place_in(index: DataFrame, group: str) -> DataFrame:
+    """numbered rows with their place from 1 within a group that the order begins with; a hot group is no window."""
+    first = index.groupBy(group).agg(F.min("__index").alias("__first"))
+    return index.join(first, group).withColumn("__place", F.col("__index") - F.col("__first") + 1).drop("__first", "__index")
+
+
 def collision_free(planned: DataFrame, dst: str, order: str | list[str], existing: DataFrame | None = None) -> DataFrame:
-    """planned with `final`: the first to claim a free name has it, the others get `stem (n).ext`.
+    """planned with `final`: the first to claim a free name has it, the others get `stem (n).ext` with the first free n.
 
-    existing(dst) holds names already taken; numbers go on after the highest taken one of that name."""
+    existing(dst) holds names already taken; a name that some row of the plan asks for is nobody else's either, so all
+    final names differ. Only a name with a plain number from 1 counts as a numbered one."""
     order = [order] if isinstance(order, str) else order
-    rank = F.row_number().over(Window.partitionBy(dst).orderBy(*order))
-    ranked = planned.withColumn("__n", rank - 1)
+    columns = planned.columns
+    claims = _place_in(numbered(planned, dst, *order, index="__index"), dst)
+    there = (existing if existing is not None else planned.where(F.lit(False))).select(dst).distinct()
+    claims = claims.join(there.withColumn("__there", F.lit(True)), dst, "left")
+    claims = written(claims.withColumn("__k", F.col("__place") - F.when(F.col("__there"), 0).otherwise(1)).drop("__place", "__there"), "claims")
+    number = F.regexp_extract(dst, r" \(([1-9]\d{0,8})\)(\.[^./]*)?$", 1).try_cast("bigint")
+    taken = there.union(planned.select(dst)).distinct().select(F.regexp_replace(dst, r" \([1-9]\d{0,8}\)(?=(\.[^./]*)?$)", "").alias(dst), number.alias("n")).where("n is not null")
+    # below a taken number lie n - place free ones: in the order of free numbers the k-th claim stands at its own number
+    below = F.col("n") - F.row_number().over(Window.partitionBy(dst).orderBy("n"))
+    marks = taken.join(claims.where("__k > 0").select(dst).distinct(), dst, "left_semi").select(dst, below.alias("__at"), F.lit(0).alias("__late"), F.lit(None).cast("bigint").alias("__k"))
+    wanting = claims.where("__k > 0").select(dst, (F.col("__k") - 1).alias("__at"), F.lit(1).alias("__late"), "__k")
+    free = _place_in(numbered(marks.unionByName(wanting), dst, "__at", "__late", index="__index"), dst).where("__late = 1")
+    named = claims.join(free.select(dst, "__k", "__place"), [dst, "__k"], "left")
     name, ext = F.regexp_replace(dst, r"(?<=[^/])\.[^./]*$", ""), F.regexp_extract(dst, r"[^/](\.[^./]*)$", 1)
-    if existing is not None:
-        taken = existing.select(F.col(dst).alias("__name")).distinct()
-        number = F.regexp_extract("__name", r" \((\d+)\)(\.[^./]*)?$", 1)
-        base = F.regexp_replace("__name", r" \(\d+\)(?=(\.[^./]*)?$)", "")
-        most = taken.select(base.alias(dst), F.coalesce(number.try_cast("int"), F.lit(0)).alias("n")).groupBy(dst).agg((F.max("n") + 1).alias("__first"))
-        free = taken.select(F.col("__name").alias(dst), F.lit(True).alias("__taken"))
-        ranked = ranked.join(most, dst, "left").join(free, dst, "left")
-        start = F.when(F.col("__taken"), F.col("__first")).otherwise(F.when((F.col("__n") > 0) & F.col("__first").isNotNull(), F.col("__first") - 1).otherwise(0))
-        ranked = ranked.withColumn("__n", F.col("__n") + F.coalesce(start, F.lit(0))).drop("__first", "__taken")
-    final = F.when(F.col("__n") == 0, F.col(dst)).otherwise(F.concat(name, F.lit(" ("), F.col("__n").cast("string"), F.lit(")"), ext))
-    return ranked.withColumn("final", final).drop("__n")
+    final = F.when(F.col("__k") == 0, F.col(dst)).otherwise(F.concat(name, F.lit(" ("), F.col("__place").cast("string"), F.lit(")"), ext))
+    return named.select(*columns, final.alias("final"))
 
 
 def mirror_plan(rejected: DataFrame, existing: DataFrame, overwrite: bool = False) -> DataFrame:

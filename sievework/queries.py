@@ -357,10 +357,15 @@ def export_mask_by_root(spark, d):
     return export.masked(rows, rows.where("doc_id % 37 = 5"), by_root=True)
 
 
-@query(f"""SELECT doc_id, rel_path AS dst, CASE WHEN n = 1 THEN rel_path ELSE replace(rel_path, '.jpg', ' (' || (n - 1) || ').jpg') END AS final
-FROM (SELECT *, row_number() OVER (PARTITION BY rel_path ORDER BY doc_id) AS n FROM {_RELS})""")
+@query(r"""WITH w AS (SELECT doc_id, (doc_id % 50)::VARCHAR || CASE WHEN doc_id % 11 = 3 THEN ' (' || (1 + doc_id % 4) || ').jpg' ELSE '.jpg' END AS dst FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY doc_id) - 1 AS k FROM w),
+f AS (SELECT dst, n, row_number() OVER (PARTITION BY dst ORDER BY n) AS k FROM (SELECT dst, unnest(range(1, max(k) + 6)) AS n FROM r GROUP BY dst)
+  WHERE regexp_replace(dst, '\.jpg$', ' (' || n || ').jpg') NOT IN (SELECT dst FROM w))
+SELECT doc_id, r.dst, CASE WHEN r.k = 0 THEN r.dst ELSE regexp_replace(r.dst, '\.jpg$', ' (' || n || ').jpg') END AS final FROM r LEFT JOIN f ON f.dst = r.dst AND f.k = r.k""")
 def collision_names(spark, d):
-    return export.collision_free(_rels(spark, d).select("doc_id", F.col("rel_path").alias("dst")), "dst", "doc_id")
+    """Some rows ask for names that look like those which others would be given."""
+    end = F.when(F.col("doc_id") % 11 == 3, F.concat(F.lit(" ("), (1 + F.col("doc_id") % 4).cast("string"), F.lit(").jpg"))).otherwise(".jpg")
+    return export.collision_free(_t(spark, d, "documents").select("doc_id", F.concat((F.col("doc_id") % 50).cast("string"), end).alias("dst")), "dst", "doc_id")
 
 
 @query(f"""WITH a AS (SELECT doc_id AS src, 'dst' || doc_id AS dst, sha256(text) AS sha256 FROM documents),

@@ -24,12 +24,17 @@ def _digest(path: str) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
-def _put(src: str, dst: str, move: bool, sha256: str | None) -> str:
-    """Copies through a temporary name; a repeated task finds its own result and stops. Sources go last."""
+def _put(src: str, dst: str, move: bool, sha256: str | None, overwrite: bool = False) -> str:
+    """Copies through a temporary name; a repeated task finds its own result and stops. Sources go last.
+
+    A file that came to the destination since the plan was made stays, and so does the source."""
     if not os.path.exists(src):
         return "done" if sha256 and os.path.exists(dst) and _digest(dst) == sha256 else "missing"
     os.makedirs(os.path.dirname(dst), exist_ok=True)
-    if not (os.path.exists(dst) and _digest(dst) == (sha256 or _digest(src))):
+    same = os.path.exists(dst) and _digest(dst) == (sha256 or _digest(src))
+    if not same and os.path.exists(dst) and not overwrite:
+        return "taken"
+    if not same:
         temporary = f"{dst}.{os.getpid()}.tmp"
         try:
             shutil.copy2(src, temporary)
@@ -51,11 +56,11 @@ def apply_plan(plan: DataFrame, move: bool = False) -> DataFrame:
             for src, final, action, sha in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 try:
                     if action == "skip":
-                        if move and os.path.exists(src):
+                        if move and os.path.exists(src) and os.path.exists(final) and _digest(final) == (sha or _digest(src)):
                             os.unlink(src)
                         done.append(True)
                     else:
-                        done.append(_put(src, final, move, sha) == "done")
+                        done.append(_put(src, final, move, sha, action == "overwrite") == "done")
                 except OSError:
                     done.append(False)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(done, pa.bool_())], ["src", "final", "done"])
@@ -75,11 +80,15 @@ def existing_files(spark, folder: str) -> DataFrame:  # noqa: ANN001
 def mirror(rejected: DataFrame, unkept: str, move: bool = False, overwrite: bool = False) -> DataFrame:
     """rejected(path, rel_path, sha256) below `unkept` with the tree kept; (src, final, done).
 
-    Equal bytes at the destination are left alone; other files there are overwritten or a free name is taken."""
+    Equal bytes at the destination are left alone; other files there are overwritten or a free name is taken. Of several
+    files that would overwrite the same one the last does, the others get free names."""
     spark, unkept = rejected.sparkSession, unkept.rstrip("/")
     existing = written(existing_files(spark, unkept), "existing")
     wanted = rejected.select(F.col("path").alias("src"), F.concat(F.lit(unkept + "/"), "rel_path").alias("dst"), "sha256")
     plan = mirror_plan(wanted, existing, overwrite)
+    last = plan.where("action = 'overwrite'").groupBy("dst").agg(F.max("src").alias("last"))
+    plan = plan.join(last, "dst", "left").withColumn("action", F.when((F.col("action") == "overwrite") & (F.col("src") != F.col("last")), "rename").otherwise(F.col("action"))).drop("last")
+    plan = written(plan, "plan")
     keep = plan.where(F.col("action").isin("skip", "overwrite")).withColumn("final", F.col("dst"))
     fresh = collision_free(plan.where(~F.col("action").isin("skip", "overwrite")), "dst", "src", existing)
     return apply_plan(keep.unionByName(fresh.select(*keep.columns)), move)

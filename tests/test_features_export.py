@@ -1,5 +1,8 @@
 """The feature table, numbering, masks, collisions, sampling, streaming."""
 
+import hashlib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +64,53 @@ def test_collisions_respect_taken_names(spark):
     assert len(set(got.values())) == 4 and not set(got.values()) & {"d/a.jpg", "d/a (3).jpg", "d/c"}
 
 
+def sequential(claims, taken):
+    """What one claim after the other gets, if wanted names count as taken."""
+    used, wanted, out = set(taken), {d for _, d in claims}, {}
+    for src, dst in sorted(claims):
+        final, n = dst, 0
+        if dst in used:
+            stem, dot, ext = dst.rpartition(".")
+            while final in used | wanted:
+                n += 1
+                final = f"{stem} ({n}){dot}{ext}"
+        used.add(final)
+        out[src] = final
+    return out
+
+
+def test_final_names_are_unique_and_the_first_free_ones(spark):
+    rng = random.Random(4)
+    names = ["d/a.jpg", "d/a (1).jpg", "d/a (2).jpg", "d/a (1) (1).jpg", "d/a (03).jpg", "d/b.jpg", "d/a (9).jpg"]
+    for size in (3, 12, 40):
+        claims = [(f"s{i:03d}", rng.choice(names)) for i in range(size)]
+        taken = rng.sample(names + ["d/a (4).jpg", "d/b (1).jpg"], rng.randrange(5))
+        plan = spark.createDataFrame(claims, "src string, dst string")
+        got = {r.src: r.final for r in export.collision_free(plan, "dst", "src", spark.createDataFrame([(x,) for x in taken], "dst string")).collect()}
+        assert got == sequential(claims, taken) and len(set(got.values())) == size and not set(got.values()) & set(taken)
+
+
+def test_moving_files_loses_none(spark, tmp_path):
+    from sievework.sources import sinks
+
+    wants = {"s1": "a.jpg", "s2": "a.jpg", "s3": "a (1).jpg", "s4": "b.jpg", "s5": "b.jpg"}
+    for i, (folder, name) in enumerate(wants.items()):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / name).write_bytes(b"x" * (i + 1))
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "b.jpg").write_bytes(b"old")
+    rows = [(str(tmp_path / f / n), n, hashlib.sha256((tmp_path / f / n).read_bytes()).hexdigest()) for f, n in wants.items()]
+    done = sinks.mirror(spark.createDataFrame(rows, "path string, rel_path string, sha256 string"), str(tmp_path / "out"), move=True, overwrite=True)
+    assert done.where("done").count() == 5 and not any((tmp_path / f).iterdir() and list((tmp_path / f).iterdir()) for f in wants)
+    left = {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()}
+    assert left == {"a.jpg": b"x", "a (2).jpg": b"xx", "a (1).jpg": b"xxx", "b (1).jpg": b"xxxx", "b.jpg": b"xxxxx"}
+    # a file that turns up after the plan was made is not replaced
+    (tmp_path / "late").write_bytes(b"late")
+    (tmp_path / "there").write_bytes(b"there")
+    plan = spark.createDataFrame([(str(tmp_path / "late"), str(tmp_path / "there"), "copy", None)], "src string, final string, action string, sha256 string")
+    assert [r.done for r in sinks.apply_plan(plan, move=True).collect()] == [False] and (tmp_path / "late").exists() and (tmp_path / "there").read_bytes() == b"there"
+
+
 def test_mask_by_relative_path_or_root(spark):
     rows = spark.createDataFrame([("A", "x.jpg"), ("B", "x.jpg"), ("A", "y.jpg")], "root string, rel_path string")
     mask = spark.createDataFrame([("A", "x.jpg")], "root string, rel_path string")
