@@ -23,7 +23,8 @@ class Config:
     embed_batch: int = 256
     embed_max_size: int = 512
     use_vectors: bool = False
-    neighbours: int = 50
+    #: Links are taken from each vector's nearest so many; None: from all pairs that are similar enough.
+    neighbours: int | None = 50
     neighbour_method: str = "exact"
     rep_policy: str = "sharpest"
     kept_side: int = 300
@@ -51,7 +52,7 @@ class Config:
             if not -1 <= getattr(self, name) <= 1:
                 raise ValueError(f"{name} must lie between -1 and 1")
         for name in ("neighbours", "kept_side", "jpeg_quality", "person_batch", "embed_batch", "embed_max_size"):
-            if getattr(self, name) < 1:
+            if getattr(self, name) is not None and getattr(self, name) < 1:
                 raise ValueError(f"{name} must be positive")
 
     @property

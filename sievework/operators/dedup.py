@@ -169,7 +169,7 @@ def near_groups_by_hash(hashes: DataFrame, vectors: DataFrame, item: str, words:
     return connected_components(cosine_pairs(vectors, item, vector, least, within=candidates), "a", "b")
 
 
-def near_groups_by_vector(vectors: DataFrame, item: str, vector: str, k: int, least: float, strict: bool = False, method: str = "exact") -> DataFrame:
-    """(node, component) over the edges of the k nearest neighbours."""
-    near = blocked_neighbours(vectors, item, vector, k) if method == "exact" else lsh_neighbours(vectors, item, vector, k, least)
+def near_groups_by_vector(vectors: DataFrame, item: str, vector: str, k: int | None, least: float, strict: bool = False, method: str = "exact") -> DataFrame:
+    """(node, component) over the edges of the k nearest neighbours, or (k None) of all pairs from `least` on."""
+    near = blocked_neighbours(vectors, item, vector, k, None if k else least) if method == "exact" else lsh_neighbours(vectors, item, vector, k, least)
     return connected_components(neighbour_edges(near, least, strict), "a", "b")

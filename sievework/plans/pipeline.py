@@ -1,7 +1,9 @@
-"""Whole runs: curation, detection, duplicates, screening, export. Plans are lazy; files are touched at the end."""
+"""Whole runs: curation, detection, duplicates, screening, export. Intermediate tables are written to the shared folder as a
+run goes on; other files are touched at the end."""
 
 from __future__ import annotations
 
+import functools
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +32,7 @@ class CurationResult:
 
 
 def curate(assets: DataFrame, config: Config = Config(), key: str = "path") -> CurationResult:
-    """The decisions of a run on a table of features; no side effects.
+    """The decisions of a run on a table of features; beyond tables in the shared folder, nothing is touched.
 
     assets needs `key`, and the columns of the stages that are on: sharpness, saturation, border_frac; has_person,
     has_face; sha256; phash or embedding; size, mtime, sharpness_full for the representative. Each stage sees
@@ -83,14 +85,13 @@ def measure(images: DataFrame) -> DataFrame:
     return images.select("path", "image").mapInArrow(run, MEASURES)
 
 
-def _featured(spark: SparkSession, assets: DataFrame, config: Config, table: features.FeatureTable | None, detect: bool) -> DataFrame:
-    """assets with all features: those in the table, and the rest computed and put there."""
-    keyed = assets.withColumn("key", F.col("path"))
-    known = table.read() if table else None
-    todo = features.missing(keyed, known, "sha256", "phash", params=config.fingerprint()) if table else keyed
-    todo = written(todo, "todo")
-    pictures = files.pixels(spark, todo, [r.path for r in todo.select("root").distinct().select(F.col("root").alias("path")).collect()])
-    new = todo.join(measure(pictures), "path", "left").withColumn("sha256", F.sha2("content", 256))
+#: A run commits its features in slices of about so many assets; what a broken run has committed isn't computed again.
+SLICE_ROWS, MOST_SLICES = 200_000, 64
+
+
+def _computed(spark: SparkSession, todo: DataFrame, config: Config, detect: bool) -> DataFrame:
+    """todo(path, root, content, ...) with all features."""
+    new = todo.join(measure(files.pixels(spark, todo)), "path", "left").withColumn("sha256", F.sha2("content", 256))
     if detect:
         person, face = scorers.resolve("person"), scorers.resolve("face", config.face_backend)
         new = scorers.apply_scorer(new, person, "has_person", "boolean", config.person_batch, config.fail_open)
@@ -102,11 +103,23 @@ def _featured(spark: SparkSession, assets: DataFrame, config: Config, table: fea
             new = seen.unionByName(new.where("has_person").withColumn("has_face", F.lit(False)), allowMissingColumns=True)
     if "embedding" in scorers_available():
         new = scorers.apply_scorer(new, scorers.resolve("embedding"), "embedding", "array<float>", config.embed_batch)
-    new = written(new.withColumn("params", F.lit(config.fingerprint())).withColumn("updated_at", F.current_timestamp()), "features")
+    return new.withColumn("params", F.lit(config.fingerprint())).withColumn("updated_at", F.current_timestamp())
+
+
+def _featured(spark: SparkSession, assets: DataFrame, config: Config, table: features.FeatureTable | None, detect: bool) -> DataFrame:
+    """assets with all features: those in the table, and the rest computed and put there slice by slice."""
+    keyed = assets.withColumn("key", F.col("path"))
     if table is None:
-        out = new.drop("key", "content", "params", "updated_at")
+        out = written(_computed(spark, keyed, config, detect), "features").drop("key", "content", "params", "updated_at")
     else:
-        table.upsert(new)
+        known = features.lookup(keyed, table.read(), config.fingerprint())
+        wanted = [*(["has_person", "has_face"] if detect else []), *(["embedding"] if "embedding" in scorers_available() else [])]
+        open_ = functools.reduce(lambda x, y: x | y, [F.col(c).isNull() for c in wanted], F.lit(False))
+        # an unreadable file has no scores, now or later
+        todo = written(known.where(F.col("sha256").isNull() | (open_ & F.coalesce("readable", F.lit(True)))).select(*keyed.columns), "todo")
+        slices = min(MOST_SLICES, -(-todo.count() // SLICE_ROWS))
+        for k in range(slices):
+            table.upsert(_computed(spark, todo.where(F.pmod(F.xxhash64("path"), F.lit(slices)) == k), config, detect))
         out = features.lookup(keyed.drop("content"), table.read(), config.fingerprint()).drop("key", "cached")
     for c, kind in (("embedding", "array<float>"), ("has_person", "boolean"), ("has_face", "boolean")):
         if c not in out.columns:
@@ -133,7 +146,7 @@ def run_full(spark: SparkSession, inputs: list[str], kept: str, unkept: str, con
     result = curate(_featured(spark, assets, config, table, detect), config)
     rejected = result.outcomes.where("reason is not null").select("path", "rel_path", "sha256", "reason")
     survivors = assets.join(result.kept.select("path"), "path", "left_semi")
-    pictures = files.pixels(spark, survivors, [r.root for r in survivors.select("root").distinct().collect()])
+    pictures = files.pixels(spark, survivors)
     listed = written(sinks.export_numbered(pictures, kept, config.kept_side, config.jpeg_quality, config.clean_kept), "manifest")
     sinks.write_csv(listed, os.path.join(kept, "manifest.csv"), "index")
     done = sinks.mirror(rejected, unkept, not config.copy_instead, config.overwrite_unkept)
@@ -173,7 +186,7 @@ def run_export(spark: SparkSession, inputs: list[str], unkept: str, kept: str, c
     assets = files.collect_inputs(spark, inputs)
     mask = files.scan_images(spark, [unkept], content=False)
     rows = written(masked(assets, mask, by_root), "unmasked")
-    pictures = files.pixels(spark, rows, [r.root for r in rows.select("root").distinct().collect()])
+    pictures = files.pixels(spark, rows)
     listed = written(sinks.export_numbered(pictures, kept, config.kept_side, config.jpeg_quality, config.clean_kept), "manifest")
     path = sinks.write_csv(listed, os.path.join(kept, "manifest.csv"), "index")
     return {"total_input": assets.count(), "unkept_mirrored": mask.select("rel_path").distinct().count(), "exported": listed.count(), "manifest": path}
@@ -189,12 +202,12 @@ def run_screen(spark: SparkSession, src: str, dst: str, config: Config = Config(
     if scores is not None:
         scored = assets.join(scores, "path", "left")
     else:
-        params = f"{config.fingerprint()};unsafe={backend}"
-        old = features.lookup(known, table.read(), params).select("path", "unsafe_score") if table else known.select("path", F.lit(None).cast("double").alias("unsafe_score"))
+        params = f"backend={backend}"
+        old = features.lookup(known, table.read(), unsafe_params=params).select("path", "unsafe_score") if table else known.select("path", F.lit(None).cast("double").alias("unsafe_score"))
         todo = known.join(old.where("unsafe_score is null").select("path"), "path", "left_semi")
         new = written(scorers.apply_scorer(todo, scorers.resolve("unsafe", backend), "unsafe_score", "double", config.person_batch), "scores")
         if table:
-            table.upsert(new.where("unsafe_score is not null").withColumn("params", F.lit(params)).withColumn("updated_at", F.current_timestamp()))
+            table.upsert(new.where("unsafe_score is not null").withColumn("unsafe_params", F.lit(params)).withColumn("updated_at", F.current_timestamp()))
         scored = assets.join(old.where("unsafe_score is not null").union(new.select("path", "unsafe_score")), "path", "left")
     routed = written(scored.withColumn("route", filters.screen_route("unsafe_score", config.unsafe_threshold)).withColumn("sha256", F.sha2("content", 256)).drop("content"), "routes")
     out = filters.screen_summary(routed, config.unsafe_threshold, backend).first().asDict()
@@ -210,6 +223,6 @@ def run_seed(spark: SparkSession, detections: DataFrame, output: str, categories
     if not paths:
         return {"downloaded": 0, "processed": 0, "failed": 0, "output_dir": output}
     raw = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", r"^file:/+", "/").alias("path"), "content")
-    listed = sinks.export_numbered(files.pixels(spark, raw, paths, upright=False), output, side, 92, clean=False)  # seeds are cropped as stored
+    listed = sinks.export_numbered(files.pixels(spark, raw, upright=False), output, side, 92, clean=False)  # seeds are cropped as stored
     n = listed.count()
     return {"downloaded": len(paths), "processed": n, "failed": len(paths) - n, "output_dir": output}

@@ -92,11 +92,12 @@ def numeric_stem_order(spark, d):
     return first.withColumn("position", F.row_number().over(Window.orderBy(*X.stem_order("name"), "doc_id")).cast("bigint"))
 
 
-@query("""WITH u AS (SELECT doc_id, source AS root FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, source FROM documents WHERE doc_id % 3 = 0)
+@query("""WITH u AS (SELECT doc_id, source AS root FROM documents UNION ALL SELECT doc_id, 'lang-' || lang FROM documents)
 SELECT doc_id, min(root) AS root FROM u GROUP BY doc_id""")
 def union_roots(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id", F.col("source").alias("root"))
-    both = docs.where("doc_id % 2 = 0").unionByName(docs.where("doc_id % 3 = 0"))
+    """Every document is found under two roots, its source and its language."""
+    docs = _t(spark, d, "documents")
+    both = docs.select("doc_id", F.col("source").alias("root")).unionByName(docs.select("doc_id", F.concat(F.lit("lang-"), "lang").alias("root")))
     return both.groupBy("doc_id").agg(F.min("root").alias("root"))
 
 
@@ -269,7 +270,7 @@ r(node, component) AS (SELECT a, a FROM e UNION SELECT e.b, r.component FROM r J
 
 @query(_components_sql("p", f"p AS MATERIALIZED {_EDGES},"))
 def near_groups_vector(spark, d):
-    return dedup.near_groups_by_vector(_vectors(spark, d), "vec_id", "embedding", 50, _LEAST)
+    return dedup.near_groups_by_vector(_vectors(spark, d), "vec_id", "embedding", None, _LEAST)
 
 
 @query(f"""{_NEAR}, g AS (SELECT node, min(component) AS component FROM r GROUP BY node)
@@ -330,31 +331,32 @@ def export_numbering(spark, d):
 
 
 @query("""SELECT index, index || '.jpg' AS filename, source || '/' || doc_id AS original_path
-FROM (SELECT *, row_number() OVER (ORDER BY source, doc_id) AS index FROM documents) WHERE doc_id % 9 <> 4""")
+FROM (SELECT *, row_number() OVER (ORDER BY source, doc_id) AS index FROM documents) WHERE lang IS DISTINCT FROM 'de'""")
 def manifest(spark, d):
-    """Every ninth row stands for an unreadable one: it keeps its number and leaves a gap."""
-    rows = export.numbered(_t(spark, d, "documents").select("doc_id", "source"), "source", "doc_id")
+    """All documents are numbered; those in one language stand for unreadable ones, which leave a gap."""
+    rows = export.numbered(_t(spark, d, "documents").select("doc_id", "source", "lang"), "source", "doc_id")
     path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
-    return export.manifest(rows.where("doc_id % 9 <> 4").withColumn("path", path))
+    return export.manifest(rows.where(~F.col("lang").eqNullSafe("de")).withColumn("path", path))
 
 
-_RELS = "(SELECT doc_id, source AS root, (doc_id % 50)::VARCHAR || '.jpg' AS rel_path FROM documents)"
+_RELS = "(SELECT doc_id, source AS root, n_chars::VARCHAR || '.jpg' AS rel_path, lang IS NOT DISTINCT FROM 'de' AS unkept FROM documents)"
 
 
 def _rels(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.col("source").alias("root"), F.concat((F.col("doc_id") % 50).cast("string"), F.lit(".jpg")).alias("rel_path"))
+    """Texts of equal length share a name; those in one language are in the mask."""
+    return _t(spark, d, "documents").select("doc_id", F.col("source").alias("root"), F.concat(F.col("n_chars").cast("string"), F.lit(".jpg")).alias("rel_path"), F.col("lang").eqNullSafe("de").alias("unkept"))
 
 
-@query(f"SELECT doc_id, root, rel_path FROM {_RELS} WHERE rel_path NOT IN (SELECT rel_path FROM {_RELS} WHERE doc_id % 37 = 5)")
+@query(f"SELECT doc_id, root, rel_path FROM {_RELS} WHERE rel_path NOT IN (SELECT rel_path FROM {_RELS} WHERE unkept)")
 def export_mask(spark, d):
     rows = _rels(spark, d)
-    return export.masked(rows, rows.where("doc_id % 37 = 5"))
+    return export.masked(rows, rows.where("unkept")).select("doc_id", "root", "rel_path")
 
 
-@query(f"SELECT doc_id, root, rel_path FROM {_RELS} WHERE (root || '|' || rel_path) NOT IN (SELECT root || '|' || rel_path FROM {_RELS} WHERE doc_id % 37 = 5)")
+@query(f"SELECT doc_id, root, rel_path FROM {_RELS} WHERE (root || '|' || rel_path) NOT IN (SELECT root || '|' || rel_path FROM {_RELS} WHERE unkept)")
 def export_mask_by_root(spark, d):
     rows = _rels(spark, d)
-    return export.masked(rows, rows.where("doc_id % 37 = 5"), by_root=True)
+    return export.masked(rows, rows.where("unkept"), by_root=True).select("doc_id", "root", "rel_path")
 
 
 @query(r"""WITH w AS (SELECT doc_id, (doc_id % 50)::VARCHAR || CASE WHEN doc_id % 11 = 3 THEN ' (' || (1 + doc_id % 4) || ').jpg' ELSE '.jpg' END AS dst FROM documents),
@@ -369,12 +371,14 @@ def collision_names(spark, d):
 
 
 @query(f"""WITH a AS (SELECT doc_id AS src, 'dst' || doc_id AS dst, sha256(text) AS sha256 FROM documents),
-e AS (SELECT 'dst' || doc_id AS dst, sha256(CASE WHEN doc_id % 4 = 0 THEN text || '.' ELSE text END) AS have FROM documents WHERE doc_id % 2 = 0)
+e AS (SELECT CASE WHEN lang = 'en' THEN 'dst' ELSE 'other' END || doc_id AS dst, sha256(CASE WHEN doc_id % 4 = 0 THEN text || '.' ELSE text END) AS have FROM documents)
 SELECT src, dst, CASE WHEN have IS NULL THEN 'copy' WHEN have = sha256 THEN 'skip' ELSE 'rename' END AS action FROM a LEFT JOIN e USING (dst)""")
 def mirror_plan(spark, d):
-    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("src"), F.concat(F.lit("dst"), F.col("doc_id").cast("string")).alias("dst"), "text")
-    there = docs.where("src % 2 = 0").select("dst", X.sha256_hex(F.when(F.col("src") % 4 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text"))).alias("sha256"))
-    return export.mirror_plan(docs.withColumn("sha256", X.sha256_hex("text")).drop("text"), there).select("src", "dst", "action")
+    """All documents are there already, those in one language under the same name, some with other bytes."""
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("src"), F.concat(F.lit("dst"), F.col("doc_id").cast("string")).alias("dst"), "text", "lang")
+    name = F.concat(F.when(F.col("lang") == "en", "dst").otherwise("other"), F.col("src").cast("string"))
+    there = docs.select(name.alias("dst"), X.sha256_hex(F.when(F.col("src") % 4 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text"))).alias("sha256"))
+    return export.mirror_plan(docs.withColumn("sha256", X.sha256_hex("text")).drop("text", "lang"), there).select("src", "dst", "action")
 
 
 _OUTCOMES = f"""(WITH RECURSIVE m AS (SELECT * FROM {_METRICS}),
@@ -395,7 +399,7 @@ def _curated(spark, d):
     docs = _metrics(spark, d).join(_t(spark, d, "documents").select("doc_id", X.sha256_hex("text").alias("sha256"), F.col("n_chars").alias("size")), "doc_id")
     labels = _t(spark, d, "labels").select("doc_id", (F.col("toxic") == 1).alias("has_person"), (F.col("quality") == 0).alias("has_face"))
     rows = docs.join(labels, "doc_id", "left").join(_t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
-    config = Config(min_sharpness=30.0, drop_bordered=True, border_min_frac=0.06, similarity=_LEAST, use_vectors=True, neighbours=50, rep_policy="first")
+    config = Config(min_sharpness=30.0, drop_bordered=True, border_min_frac=0.06, similarity=_LEAST, use_vectors=True, neighbours=None, rep_policy="first")
     return curate(rows.withColumn("mtime", F.lit(0.0)), config, key="doc_id")
 
 
@@ -422,11 +426,11 @@ def gallery_counts(spark, d):
     return summaries.gallery_counts(_curated(spark, d).outcomes)
 
 
-@query("""WITH j AS (SELECT 'p' || doc_id AS rel_path FROM documents WHERE doc_id % 3 = 0), o AS (SELECT 'p' || doc_id AS rel_path, CASE WHEN toxic = 1 THEN 'person' ELSE 'face' END AS reason FROM labels)
+@query("""WITH j AS (SELECT 'p' || doc_id AS rel_path FROM documents), o AS (SELECT 'p' || doc_id AS rel_path, CASE WHEN toxic = 1 THEN 'person' ELSE 'face' END AS reason FROM labels)
 SELECT rel_path, coalesce(reason, rel_path) AS caption FROM (SELECT * FROM j ORDER BY rel_path LIMIT 400) LEFT JOIN o USING (rel_path)""")
 def review_join(spark, d):
     name = F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("rel_path")
-    rejected = _t(spark, d, "documents").where("doc_id % 3 = 0").select(name)
+    rejected = _t(spark, d, "documents").select(name)
     log = _t(spark, d, "labels").select(name, F.when(F.col("toxic") == 1, "person").otherwise("face").alias("reason"))
     return export.review(rejected, log, 400).select("rel_path", "caption")
 
@@ -441,40 +445,49 @@ def seed_sample(spark, d):
 
 
 def _snapshots(spark, d):
-    """A table of features, and the assets of today: some changed in size, some in time, some new, some gone."""
-    docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("key"), "doc_id", F.col("n_chars").alias("size"), X.sha256_hex("text").alias("sha256"))
-    old = docs.where("doc_id % 10 <> 9").select("key", "size", (F.col("doc_id") % 100).cast("double").alias("mtime"), F.when(F.col("doc_id") % 6 != 0, F.col("sha256")).alias("sha256"), F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") % 2 == 0).alias("has_person"))
+    """A table of features, and the assets of today: some changed in size, some in time, some new, some gone.
+
+    All documents are in both, but those in one language under a key of their own in the old table and those in
+    another today."""
+    docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("key"), "doc_id", "lang", F.col("n_chars").alias("size"), X.sha256_hex("text").alias("sha256"))
+    key = lambda lang: F.concat(F.when(F.col("lang") == lang, lang).otherwise(""), "key").alias("key")
+    params = F.when(F.col("doc_id") % 4 == 0, "other").otherwise("p").alias("params")
+    old = docs.select(key("de"), "size", (F.col("doc_id") % 100).cast("double").alias("mtime"), F.when(F.col("doc_id") % 6 != 0, F.col("sha256")).alias("sha256"), F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") % 2 == 0).alias("has_person"), params)
     changed = F.when(F.col("doc_id") % 7 == 0, F.col("size") + 1).otherwise(F.col("size"))
     shift = F.when(F.col("doc_id") % 8 == 0, 1.0).when(F.col("doc_id") % 8 == 1, 1.5).otherwise(0.0)
-    now = docs.where("doc_id % 10 <> 3").select("key", changed.alias("size"), (F.col("doc_id") % 100 + shift).cast("double").alias("mtime"))
+    now = docs.select(key("fr"), changed.alias("size"), (F.col("doc_id") % 100 + shift).cast("double").alias("mtime"))
     return old, now
 
 
-_SNAP = """d AS (SELECT doc_id::VARCHAR AS key, doc_id, n_chars AS size, sha256(text) AS sha256 FROM documents),
-old AS (SELECT key, size, (doc_id % 100)::DOUBLE AS mtime, CASE WHEN doc_id % 6 <> 0 THEN sha256 END AS sha256, CASE WHEN doc_id % 5 <> 0 THEN doc_id % 2 = 0 END AS has_person FROM d WHERE doc_id % 10 <> 9),
-now AS (SELECT key, CASE WHEN doc_id % 7 = 0 THEN size + 1 ELSE size END AS size, (doc_id % 100 + CASE doc_id % 8 WHEN 0 THEN 1.0 WHEN 1 THEN 1.5 ELSE 0.0 END)::DOUBLE AS mtime FROM d WHERE doc_id % 10 <> 3)"""
+_SNAP = """d AS (SELECT doc_id::VARCHAR AS key, doc_id, lang, n_chars AS size, sha256(text) AS sha256 FROM documents),
+old AS (SELECT CASE WHEN lang = 'de' THEN 'de' ELSE '' END || key AS key, size, (doc_id % 100)::DOUBLE AS mtime, CASE WHEN doc_id % 6 <> 0 THEN sha256 END AS sha256, CASE WHEN doc_id % 5 <> 0 THEN doc_id % 2 = 0 END AS has_person,
+  CASE WHEN doc_id % 4 = 0 THEN 'other' ELSE 'p' END AS params FROM d),
+now AS (SELECT CASE WHEN lang = 'fr' THEN 'fr' ELSE '' END || key AS key, CASE WHEN doc_id % 7 = 0 THEN size + 1 ELSE size END AS size, (doc_id % 100 + CASE doc_id % 8 WHEN 0 THEN 1.0 WHEN 1 THEN 1.5 ELSE 0.0 END)::DOUBLE AS mtime FROM d)"""
 _VALID = "n.key = o.key AND n.size = o.size AND abs(n.mtime - o.mtime) <= 1.0"
 
 
-@query(f"WITH {_SNAP} SELECT n.key, n.size, n.mtime, o.key IS NOT NULL AS cached, o.sha256, o.has_person FROM now n LEFT JOIN old o ON {_VALID}")
+@query(f"""WITH {_SNAP} SELECT n.key, n.size, n.mtime, coalesce(o.params = 'p', false) AS cached, CASE WHEN o.params = 'p' THEN o.sha256 END AS sha256, CASE WHEN o.params = 'p' THEN o.has_person END AS has_person
+FROM now n LEFT JOIN old o ON {_VALID}""")
 def cache_lookup(spark, d):
     old, now = _snapshots(spark, d)
-    return features.lookup(now, old)
+    return features.lookup(now, old, "p")
 
 
-@query(f"WITH {_SNAP} SELECT n.key, n.size, n.mtime FROM now n LEFT JOIN old o ON {_VALID} WHERE o.sha256 IS NULL OR o.has_person IS NULL")
+@query(f"WITH {_SNAP} SELECT n.key, n.size, n.mtime FROM now n LEFT JOIN old o ON {_VALID} AND o.params = 'p' WHERE o.sha256 IS NULL OR o.has_person IS NULL")
 def cache_missing(spark, d):
     old, now = _snapshots(spark, d)
-    return features.missing(now, old, "sha256", "has_person")
+    return features.missing(now, old, "sha256", "has_person", params="p")
 
 
-@query(f"""WITH {_SNAP}, new AS (SELECT key, size, mtime, 'new' || key AS sha256, NULL::BOOLEAN AS has_person FROM now),
-j AS (SELECT coalesce(o.key, n.key) AS key, n.key IS NULL AS gone, coalesce({_VALID}, false) AS same, o.size AS os, n.size AS ns, o.mtime AS om, n.mtime AS nm, o.sha256 AS oh, n.sha256 AS nh, o.has_person AS op, n.has_person AS np FROM old o FULL JOIN new n ON o.key = n.key)
+@query(f"""WITH {_SNAP}, new AS (SELECT key, size, mtime, 'new' || key AS sha256, NULL::BOOLEAN AS has_person, CASE WHEN size % 3 <> 0 THEN 'p' END AS params FROM now),
+j AS (SELECT coalesce(o.key, n.key) AS key, n.key IS NULL AS gone, coalesce({_VALID}, false) AS same, n.params IS NOT NULL AND n.params IS DISTINCT FROM o.params AS other,
+  o.size AS os, n.size AS ns, o.mtime AS om, n.mtime AS nm, o.sha256 AS oh, n.sha256 AS nh, o.has_person AS op, n.has_person AS np, o.params AS og, n.params AS ng FROM old o FULL JOIN new n ON o.key = n.key)
 SELECT key, CASE WHEN gone OR same THEN os ELSE ns END AS size, CASE WHEN gone OR same THEN om ELSE nm END AS mtime,
-  CASE WHEN gone THEN oh WHEN same THEN coalesce(nh, oh) ELSE nh END AS sha256, CASE WHEN gone THEN op WHEN same THEN coalesce(np, op) ELSE np END AS has_person FROM j""")
+  CASE WHEN gone THEN oh WHEN same AND NOT other THEN coalesce(nh, oh) ELSE nh END AS sha256, CASE WHEN gone THEN op WHEN same AND NOT other THEN coalesce(np, op) ELSE np END AS has_person,
+  CASE WHEN gone THEN og WHEN same THEN coalesce(ng, og) ELSE ng END AS params FROM j""")
 def cache_merge(spark, d):
     old, now = _snapshots(spark, d)
-    new = now.withColumn("sha256", F.concat(F.lit("new"), "key")).withColumn("has_person", F.lit(None).cast("boolean"))
+    new = now.withColumn("sha256", F.concat(F.lit("new"), "key")).withColumn("has_person", F.lit(None).cast("boolean")).withColumn("params", F.when(F.col("size") % 3 != 0, "p"))
     return features.merge(old, new)
 
 

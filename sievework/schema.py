@@ -21,8 +21,10 @@ ASSETS = struct("path string, root string, rel_path string, size bigint, mtime d
 FEATURES = struct(
     "key string, path string, size bigint, mtime double, sha256 string, phash array<bigint>, has_person boolean, has_face boolean, "
     "unsafe_score double, embedding array<float>, sharpness double, saturation double, border_frac double, sharpness_full double, "
-    "readable boolean, params string, updated_at timestamp"
+    "readable boolean, params string, unsafe_params string, updated_at timestamp"
 )
+#: The columns whose values depend on options, under the column that says which options those were.
+FAMILIES = {"params": ("sha256", "phash", "has_person", "has_face", "embedding", "sharpness", "saturation", "border_frac", "sharpness_full", "readable"), "unsafe_params": ("unsafe_score",)}
 OUTCOMES = struct("rel_path string, reason string, original_path string")
 MANIFEST = struct("index bigint, filename string, original_path string")
 

@@ -81,11 +81,38 @@ def with_digest(assets: DataFrame) -> DataFrame:
     return assets.withColumn("sha256", sha256_hex("content"))
 
 
-def pixels(spark: SparkSession, assets: DataFrame, paths: list[str], upright: bool = True) -> DataFrame:
+#: As many paths are given to the image source by name at most; beyond that it reads the roots.
+NAMED = 10_000
+SIGNATURE = b"\x89PNG\r\n\x1a\n"
+
+
+def _image_source(spark: SparkSession, assets: DataFrame) -> DataFrame | None:
+    """(path, height, width, nChannels, data) by the JVM's readers: of these files alone if they are few, else of their roots."""
+    from pyspark.errors import AnalysisException
+
+    plain = F.regexp_replace("path", r"([*?\[\]{}\\])", r"\\$1")  # no character is a wildcard
+    named = assets.select(plain.alias("path")).limit(NAMED + 1).collect()
+    if not named:
+        return None
+    read = spark.read.format("image").option("recursiveFileLookup", "true")
+    roots = [r.root for r in assets.select("root").distinct().collect()] if "root" in assets.columns else []
+    try:
+        found = read.load([r.path for r in named] if len(named) <= NAMED or not roots else roots)
+    except AnalysisException:  # one of them has gone since the scan
+        if not roots:
+            raise
+        found = read.load(roots)
+    found = found.select("image.*").where("height > 0")
+    return found.select(_plain(F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B")))).alias("path"), "height", "width", "nChannels", "data")
+
+
+def pixels(spark: SparkSession, assets: DataFrame, upright: bool = True) -> DataFrame:
     """(path, image): decoded RGB with its size, upright by EXIF unless told not to; null where no decoder reads the file.
 
-    PNG is decoded from the bytes at hand; other formats go through the JVM's readers in the image source."""
-    jvm = spark.read.format("image").option("recursiveFileLookup", "true").load(paths).select("image.*") if paths else None
+    assets(path, content[, root]). PNG is decoded from the bytes at hand; other formats go through the JVM's readers in
+    the image source, which opens only the files that are asked for."""
+    other = F.coalesce(F.substring("content", 1, len(SIGNATURE)) != F.lit(SIGNATURE), F.lit(True))
+    jvm = _image_source(spark, assets.where(other))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,7 +123,6 @@ def pixels(spark: SparkSession, assets: DataFrame, paths: list[str], upright: bo
     first = assets.select("path", "content").mapInArrow(decode, "path string, image binary, turn int")
     if jvm is None:
         return first.select("path", "image")
-    read = jvm.where("height > 0").select(_plain(F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B")))).alias("path"), "height", "width", "nChannels", "data")
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,7 +134,7 @@ def pixels(spark: SparkSession, assets: DataFrame, paths: list[str], upright: bo
                 out.append(own)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["path", "image"])
 
-    return first.join(read, "path", "left").select("path", "image", "turn", "height", "width", "nChannels", "data").mapInArrow(convert, "path string, image binary")
+    return first.join(jvm, "path", "left").select("path", "image", "turn", "height", "width", "nChannels", "data").mapInArrow(convert, "path string, image binary")
 
 
 def _packed(image: np.ndarray | None, turn: int = 1) -> bytes | None:

@@ -47,6 +47,30 @@ def test_a_changed_fingerprint_drops_old_features(spark):
     assert got == {"a": (2, 10.0, None, False), "b": (1, 10.0, "B", False), "c": (1, 10.0, "C", True), "n": (1, 1.0, "N", None)}
 
 
+def test_families_with_their_own_options(spark):
+    base = "key string, size long, mtime double, sha256 string, params string, unsafe_score double, unsafe_params string"
+    table = lambda *rows: conform(spark.createDataFrame(list(rows), base), FEATURES)
+    old = table(("a", 1, 1.0, "A", "p", None, None), ("b", 1, 1.0, "B", "p", 0.5, "u"))
+    both = features.merge(old, table(("a", 1, 1.0, None, None, 0.1, "u"), ("b", 1, 1.0, None, None, 0.2, "v")))
+    assert {r.key: (r.sha256, r.params, r.unsafe_score, r.unsafe_params) for r in both.collect()} == {"a": ("A", "p", 0.1, "u"), "b": ("B", "p", 0.2, "v")}
+    now = assets(spark, ("a", 1, 1.0), ("b", 1, 1.0), ("c", 1, 1.0))
+    assert {r.key: (r.sha256, r.unsafe_score) for r in features.lookup(now, both, "p", unsafe_params="u").collect()} == {"a": ("A", 0.1), "b": ("B", None), "c": (None, None)}
+    assert {r.key for r in features.missing(now, both, "unsafe_score", unsafe_params="u").collect()} == {"b", "c"}
+    # other options of one family drop that family alone
+    again = features.merge(both, table(("a", 1, 1.0, None, "q", None, None)))
+    assert {r.key: (r.sha256, r.params, r.unsafe_score) for r in again.collect()}["a"] == (None, "q", 0.1)
+
+
+def test_commits_are_small_and_make_a_new_base_at_times(spark, tmp_path):
+    table = features.FeatureTable(spark, f"file://{tmp_path}/t", most=2)
+    for k in range(8):
+        table.upsert(conform(assets(spark, (f"k{k}", 1, 1.0), ("same", 1, 1.0)).withColumn("sha256", F.concat("key", F.lit(str(k)))).withColumn("params", F.lit("p")), FEATURES))
+        rows = {r.key: r.sha256 for r in table.read().collect()}
+        assert rows == {f"k{i}": f"k{i}{i}" for i in range(k + 1)} | {"same": f"same{k}"}
+    names = sorted(p.name for p in (tmp_path / "t").iterdir())
+    assert [n for n in names if n[0] == "v"] == ["v1", "v2"] and sum(n[0] == "c" for n in names) <= 6
+
+
 def test_numbering_is_gapless_over_partitions(spark):
     rows = spark.range(500).select((F.col("id") * 7919 % 500).alias("k")).repartition(7)
     got = export.numbered(rows, "k").collect()

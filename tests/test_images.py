@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sievework import cli
 from sievework.config import Config
 from sievework.functions import codecs, kernels, scorers
+from sievework.operators import features
 from sievework.plans import pipeline
 from sievework.sources import files, sinks
 
@@ -83,22 +84,26 @@ def folder(tmp_path):
     a = picture(1)
     for name, data in {
         "a.png": codecs.png(a), "copy of a.png": codecs.png(a), "sub/near+1.PNG": codecs.png(np.clip(a.astype(int) + 4, 0, 255).astype(np.uint8)),
-        "b.jpg": codecs.jpeg(picture(2)), "grey.png": codecs.png(np.repeat(picture(4)[..., :1], 3, 2)), "broken.jpg": b"nothing", "notes.txt": b"x", ".hid.png": codecs.png(a),
+        "b.jpg": codecs.jpeg(picture(2)), "b[1]*.jpg": codecs.jpeg(picture(5)), "grey.png": codecs.png(np.repeat(picture(4)[..., :1], 3, 2)), "broken.jpg": b"nothing", "notes.txt": b"x", ".hid.png": codecs.png(a),
     }.items():
         (root / name).write_bytes(data)
     return root
 
 
-def test_scan_and_decode(spark, folder, tmp_path):
+def test_scan_and_decode(spark, folder, tmp_path, monkeypatch):
     found = files.collect_inputs(spark, [str(folder), str(folder / "sub")])
-    assert sorted(r.rel_path for r in found.collect()) == ["a.png", "b.jpg", "broken.jpg", "copy of a.png", "grey.png", "near+1.PNG"]
-    assert files.count_images(spark, str(folder)) == 6
+    assert sorted(r.rel_path for r in found.collect()) == ["a.png", "b.jpg", "b[1]*.jpg", "broken.jpg", "copy of a.png", "grey.png", "near+1.PNG"]
+    assert files.count_images(spark, str(folder)) == 7
     with pytest.raises(ValueError):
         files.collect_inputs(spark, [str(tmp_path / "none")])
     assert files.scan_images(spark, [str(tmp_path / "none")]).count() == 0
-    decoded = {r.path.rsplit("/", 1)[1]: files.unpacked(r.image) for r in files.pixels(spark, found, [str(folder)]).collect()}
+    decoded = {r.path.rsplit("/", 1)[1]: files.unpacked(r.image) for r in files.pixels(spark, found).collect()}
     assert decoded["broken.jpg"] is None and (decoded["a.png"] == picture(1)).all()
-    assert np.abs(decoded["b.jpg"].astype(int) - picture(2)).mean() < 4
+    assert np.abs(decoded["b.jpg"].astype(int) - picture(2)).mean() < 4 and np.abs(decoded["b[1]*.jpg"].astype(int) - picture(5)).mean() < 4
+    one = files.pixels(spark, found.where("rel_path = 'b.jpg'").drop("root")).collect()
+    assert len(one) == 1 and (files.unpacked(one[0].image) == decoded["b.jpg"]).all()
+    monkeypatch.setattr(files, "NAMED", 1)  # many files: their roots are read
+    assert {r.path: r.image for r in files.pixels(spark, found).collect()}.keys() == {r.path for r in found.collect()}
 
 
 def test_mirror_is_safe_to_repeat(spark, folder, tmp_path):
@@ -140,9 +145,9 @@ def test_a_whole_run(spark, folder, tmp_path, models, use_vectors):
     kept, unkept = tmp_path / "kept", tmp_path / "unkept"
     config = Config(drop_grayscale=True, grayscale_max_saturation=0.5, use_vectors=use_vectors, similarity=0.95, rep_policy="first", kept_side=32)
     got = pipeline.run_full(spark, [str(folder)], str(kept), str(unkept), config)
-    assert (got["total_input"], got["rejected_grayscale"], got["rejected_exact_dup"], got["rejected_near_dup"]) == (6, 1, 1, 1)
-    # a.png, b.jpg and the unreadable file survive; the latter keeps its number and is not written
-    assert got["exported"] == 2 and sorted(p.name for p in kept.glob("*.jpg")) == ["1.jpg", "2.jpg"]
+    assert (got["total_input"], got["rejected_grayscale"], got["rejected_exact_dup"], got["rejected_near_dup"]) == (7, 1, 1, 1)
+    # a.png, two JPEGs and the unreadable file survive; the latter keeps its number and is not written
+    assert got["exported"] == 3 and sorted(p.name for p in kept.glob("*.jpg")) == ["1.jpg", "2.jpg", "3.jpg"]
     assert (kept / "manifest.csv").read_text().splitlines()[0] == "index,filename,original_path"
     lines = (unkept / "outcomes.csv").read_text().splitlines()
     assert lines[0] == "rel_path,reason,original_path" and len(lines) == 4
@@ -151,6 +156,36 @@ def test_a_whole_run(spark, folder, tmp_path, models, use_vectors):
     assert {k: v for k, v in again.items() if k != "cache_info"} == {k: v for k, v in got.items() if k != "cache_info"}
 
 
+def test_a_broken_run_resumes_and_verbs_share_the_table(spark, folder, tmp_path, models, monkeypatch):
+    table, seen = features.FeatureTable(spark, str(tmp_path / "t")), []
+    real, config = pipeline._computed, Config(skip_detect=True)
+
+    def watched(spark, todo, config, detect):
+        seen.append({r.path for r in todo.collect()})
+        if len(seen) == 3:
+            raise OSError("executors are gone")
+        return real(spark, todo, config, detect)
+
+    monkeypatch.setattr(pipeline, "_computed", watched)
+    monkeypatch.setattr(pipeline, "SLICE_ROWS", 2)
+    found = files.collect_inputs(spark, [str(folder)])
+    with pytest.raises(OSError):
+        pipeline._featured(spark, found, config, table, False)
+    had = seen[0] | seen[1]
+    out = pipeline._featured(spark, found, config, table, False)
+    again = set().union(*seen[3:])
+    assert had and again and not had & again and len(had | again) == found.count() == out.count()
+    # the screen adds its own family; a second run and a second screen compute nothing
+    scored = []
+    scorers.register("unsafe", "auto", lambda: lambda contents: [scored.append(len(contents)) or 0.1 for _ in contents])
+    for _ in range(2):
+        got = pipeline.run_screen(spark, str(folder), str(tmp_path / "safe"), config, "auto", False, cache=str(tmp_path / "t"))
+        assert (got["total"], got["blocked"]) == (7, 0)
+    before = len(seen)
+    rows = pipeline._featured(spark, found, config, table, False)
+    assert len(seen) == before and rows.where("sha256 is null").count() == 0 and table.read().where("unsafe_score is null").count() == 0
+
+
 def test_detection_fails_openly_only_on_request(spark):
     rows = spark.createDataFrame([(b"x",)], "content binary")
 
@@ -168,20 +203,20 @@ def test_detection_fails_openly_only_on_request(spark):
 def test_command_line(spark, folder, tmp_path, models, capsys):
     said = lambda: json.loads(capsys.readouterr().out)
     assert cli.main(["dedup", "--input", str(folder), "--unkept", str(tmp_path / "u"), "--copy-instead", "--similarity", "0.95", "--rep-policy", "first"], spark) == 0
-    assert said() == {"total": 6, "rejected_exact": 1, "rejected_near": 1, "survivors": 4}
+    assert said() == {"total": 7, "rejected_exact": 1, "rejected_near": 1, "survivors": 5}
     assert cli.main(["export", "--input", str(folder), "--unkept", str(tmp_path / "u"), "--kept", str(tmp_path / "k"), "--kept-side", "16"], spark) == 0
-    assert said()["exported"] == 3
+    assert said()["exported"] == 4
     scores = str(tmp_path / "scores")
     files.collect_inputs(spark, [str(folder)], content=False).select("path", F.when(F.col("path").endswith("b.jpg"), 0.9).when(~F.col("path").endswith("grey.png"), 0.1).alias("unsafe_score")).write.parquet(scores)
     assert cli.main(["nsfw", "--src", str(folder), "--dst", str(tmp_path / "safe"), "--copy", "--scores", scores], spark) == 0
     got = said()
-    assert (got["total"], got["moved"], got["blocked"], got["skipped"]) == (6, 4, 1, 1)
+    assert (got["total"], got["moved"], got["blocked"], got["skipped"]) == (7, 5, 1, 1)
     detections = str(tmp_path / "detections")
     spark.createDataFrame([(str(folder / "a.png"), "x"), (str(folder / "b.jpg"), "y"), (str(folder / "broken.jpg"), "z")], "path string, category string").write.parquet(detections)
     assert cli.main(["seed", "--detections", detections, "--output", str(tmp_path / "seed"), "--side", "16"], spark) == 0
     assert said()["processed"] == 2
     assert cli.main(["cache", "--db", str(tmp_path / "u" / ".features"), "info"], spark) == 0
-    assert said()["total_rows"] == 6
+    assert said()["total_rows"] == 7
     assert cli.main(["cache", "--db", str(tmp_path / "u" / ".features"), "prune"], spark) == 0
     assert said() == {"pruned": 0}
     assert cli.main(["dedup", "--input", str(tmp_path / "none"), "--unkept", str(tmp_path / "u")], spark) == 2
