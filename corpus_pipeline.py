@@ -1,19 +1,23 @@
 """From documents to packed training sequences: quality rules, quality classifier, near duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on every row its predecessor kept. All but the last return
-the columns of documents.
+the columns of documents, whatever other columns there are and whatever their names.
+
+Null ids and repeated rows are rows like others, in every stage. Null and empty texts fail the base rules and go in the
+first stage; alone, the classifier drops null texts and judges empty ones, near duplicates keep both, and packing gives
+them the end token alone. Of texts that tie as near duplicates the lowest id stays (null ids last; of rows that repeat
+both id and text, one). Texts of any length are processed whole. An empty table gives an empty table in every stage;
+without labels the classifier keeps all texts.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import op2_packing, op7_quality_classifier, op8_quality_rules, op9_jaccard_join
 from sievework.llm.queries import vocabulary
-from sievework.plans.scratch import scratch_root
+from sievework.plans.scratch import discard, written
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +51,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{scratch_root(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        discard(before)
     return docs

@@ -6,14 +6,18 @@ import argparse
 import importlib
 import logging
 import os
+import random
 import sys
 
+from sievework import __version__
 from sievework.config import POLICIES, Config
 
 
+# Names of verbs and options are fixed values: they are the interface.
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="sievework", description="Curation of image folders on Spark.")
     p.add_argument("-v", "--verbose", action="store_true")
+    p.add_argument("--version", action="version", version=f"%(prog)s {__version__}")
     p.add_argument("--scorers", action="append", default=[], help="module that registers model scorers when imported")
     sub = p.add_subparsers(dest="command", required=True)
 
@@ -39,7 +43,7 @@ def parser() -> argparse.ArgumentParser:
         v.add_argument("--clip-max-size", "--embed-max-size", dest="embed_max_size", type=int)
         v.add_argument("--use-faiss", "--use-vectors", dest="use_vectors", action="store_true", default=None)
         v.add_argument("--faiss-k", "--neighbours", dest="neighbours", type=int)
-        v.add_argument("--neighbour-method", choices=["exact", "lsh"])
+        v.add_argument("--neighbour-method", choices=["auto", "exact", "lsh"])
         v.add_argument("--rep-policy", choices=POLICIES)
 
     def seen(v: argparse.ArgumentParser) -> None:
@@ -80,7 +84,7 @@ def parser() -> argparse.ArgumentParser:
     seed.add_argument("--num-categories", type=int, default=1000)
     seed.add_argument("--images-per-category", type=int, default=2)
     seed.add_argument("--side", type=int, default=300)
-    seed.add_argument("--seed", type=int, default=0)
+    seed.add_argument("--seed", type=int, help="random if not given")
     cache = verb("cache", "the feature table", inputs=False, unkept=False, cache=False)
     cache.add_argument("--db", required=True)
     cache.add_argument("action", choices=["info", "prune", "clear"])
@@ -116,14 +120,15 @@ def main(argv: list[str] | None = None, spark=None) -> int:  # noqa: ANN001
         elif a.command == "nsfw":
             out = pipeline.run_screen(spark, a.src, a.dst, config, a.backend, not a.copy, spark.read.parquet(a.scores) if a.scores else None, cache)
         elif a.command == "seed":
-            out = pipeline.run_seed(spark, spark.read.parquet(a.detections), a.output, a.num_categories, a.images_per_category, a.side, a.seed)
+            out = pipeline.run_seed(spark, spark.read.parquet(a.detections), a.output, a.num_categories, a.images_per_category, a.side, random.randrange(1 << 31) if a.seed is None else a.seed)
         else:
             table = FeatureTable(spark, a.db)
             if a.action == "prune":
                 from sievework.sources.files import scan_images
 
-                roots = {os.path.dirname(r.path) for r in table.read().select("path").distinct().toLocalIterator()}
-                out = {"pruned": table.prune(scan_images(spark, sorted(roots), content=False).select(F.col("path").alias("key")))}
+                folders = table.read().select(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).where("folder <> ''").distinct()
+                roots = sorted(r.folder for r in folders.collect())  # a row for each folder
+                out = {"pruned": table.prune(scan_images(spark, roots, content=False).select(F.col("path").alias("key")))}
             elif a.action == "clear":
                 table.clear()
                 out = {"cleared": True}

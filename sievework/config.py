@@ -25,7 +25,7 @@ class Config:
     use_vectors: bool = False
     #: Links are taken from each vector's nearest so many; None: from all pairs that are similar enough.
     neighbours: int | None = 50
-    neighbour_method: str = "exact"
+    neighbour_method: str = "auto"
     rep_policy: str = "sharpest"
     kept_side: int = 300
     jpeg_quality: int = 92
@@ -46,8 +46,8 @@ class Config:
             raise ValueError(f"unknown representative policy {self.rep_policy!r}; one of {', '.join(POLICIES)}")
         if not 0 <= self.phash_hamming <= 256:
             raise ValueError("phash_hamming must lie between 0 and 256")
-        if self.neighbour_method not in ("exact", "lsh"):
-            raise ValueError("neighbour_method must be exact or lsh")
+        if self.neighbour_method not in ("auto", "exact", "lsh"):
+            raise ValueError("neighbour_method must be auto, exact or lsh")
         for name in ("similarity", "unsafe_threshold", "person_conf"):
             if not -1 <= getattr(self, name) <= 1:
                 raise ValueError(f"{name} must lie between -1 and 1")

@@ -76,6 +76,9 @@ def mirror_plan(rejected: DataFrame, existing: DataFrame, overwrite: bool = Fals
 
 
 def review(rejected: DataFrame, outcomes: DataFrame, limit: int = 400) -> DataFrame:
-    """The first rejected files by path with their caption: the reason, or the path where none is recorded."""
-    last = outcomes.groupBy("rel_path").agg(F.max("reason").alias("reason"))
+    """The first rejected files by path with their caption: the reason, or the path where none is recorded.
+
+    Of several reasons the last line of the log counts, or without line numbers the highest."""
+    reason = F.max_by("reason", "line") if "line" in outcomes.columns else F.max("reason")
+    last = outcomes.groupBy("rel_path").agg(reason.alias("reason"))
     return rejected.orderBy("rel_path").limit(limit).join(last, "rel_path", "left").withColumn("caption", F.coalesce("reason", "rel_path")).orderBy("rel_path")

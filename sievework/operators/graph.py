@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from sievework.plans.scratch import written
+from sievework.plans.scratch import discard, written
 
 
 def _lowest(pairs: DataFrame) -> DataFrame:
@@ -39,7 +39,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         large = _lowest(_both(stars)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _lowest(large.where("v < u"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        stars, now = kept(small)
+        before, (stars, now) = stars, kept(small)
+        discard(before)
         if now == last:
             break
         last = now

@@ -280,6 +280,19 @@ def near_representative(spark, d):
     return dedup.representatives(groups, "component", "node", "largest")
 
 
+_SHIFTED = """(SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings UNION ALL
+SELECT -1 - vec_id, list_transform(embedding::DOUBLE[], lambda x, i: x + 0.1 * CASE WHEN i % 2 = 1 THEN embedding[65 - i] ELSE 0 END) FROM embeddings)"""
+
+
+@query(f"SELECT a.vec_id AS a, b.vec_id AS b FROM {_SHIFTED} a JOIN {_SHIFTED} b ON a.vec_id < b.vec_id WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.9")
+def near_pairs_lsh(spark, d):
+    """Every vector and a slightly shifted copy of it, found by hash tables."""
+    v = _vectors(spark, d).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    shifted = F.transform("e", lambda x, i: x + F.when(i % 2 == 0, 0.1 * F.get("e", 63 - i)).otherwise(0.0))
+    rows = v.union(v.select(-1 - F.col("vec_id"), shifted))
+    return dedup.lsh_pairs(rows.select("vec_id", X.normalised("e").alias("v")), "vec_id", "v", 0.9).select("a", "b")
+
+
 # ---- screening ----------------------------------------------------------------------------------------------------
 
 _ZERO = f"""SELECT a.vec_id, round(1 / (1 + exp(max(CASE WHEN b.vec_id >= 8 THEN {_COSINE} END) - max(CASE WHEN b.vec_id < 8 THEN {_COSINE} END))), 6) AS unsafe

@@ -86,12 +86,16 @@ NAMED = 10_000
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
+def wild_free(path: str):
+    """A path in which no character is a wildcard."""
+    return F.regexp_replace(path, r"([*?\[\]{}\\])", r"\\$1")
+
+
 def _image_source(spark: SparkSession, assets: DataFrame) -> DataFrame | None:
     """(path, height, width, nChannels, data) by the JVM's readers: of these files alone if they are few, else of their roots."""
     from pyspark.errors import AnalysisException
 
-    plain = F.regexp_replace("path", r"([*?\[\]{}\\])", r"\\$1")  # no character is a wildcard
-    named = assets.select(plain.alias("path")).limit(NAMED + 1).collect()
+    named = assets.select(wild_free("path").alias("path")).limit(NAMED + 1).collect()
     if not named:
         return None
     read = spark.read.format("image").option("recursiveFileLookup", "true")
@@ -155,7 +159,8 @@ def unpacked(data: bytes | None) -> np.ndarray | None:
 
 
 def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(OUTCOMES).option("header", True).option("escape", '"').csv(path)
+    """The log with `line`, which rises along a file."""
+    return spark.read.schema(OUTCOMES).option("header", True).option("escape", '"').csv(path).withColumn("line", F.monotonically_increasing_id())
 
 
 def read_classes(spark: SparkSession, path: str, column: str = "DisplayName") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from sievework.functions import codecs, kernels
 from sievework.operators.export import collision_free, manifest, mirror_plan, numbered
 from sievework.plans.scratch import written
-from sievework.sources.files import unpacked
+from sievework.sources.files import NAMED, unpacked, wild_free
 
 
 def _digest(path: str) -> str:
@@ -68,13 +68,20 @@ def apply_plan(plan: DataFrame, move: bool = False) -> DataFrame:
     return written(plan.select("src", "final", "action", "sha256").mapInArrow(run, "src string, final string, done boolean"), "applied")
 
 
-def existing_files(spark, folder: str) -> DataFrame:  # noqa: ANN001
-    """(dst, sha256) of all files below a folder; an empty table if it isn't there."""
-    rows = spark.createDataFrame([], "dst string, sha256 string")
-    if os.path.isdir(folder) and any(names for _, _, names in os.walk(folder)):
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-        rows = found.select(F.regexp_replace("path", r"^file:/+", "/").alias("dst"), F.sha2("content", 256).alias("sha256"))
-    return rows
+def existing_files(spark, folder: str, wanted: DataFrame) -> DataFrame:  # noqa: ANN001
+    """(dst, sha256) of all files below a folder; only files whose name is wanted(dst) are read, others have no digest."""
+    none = spark.createDataFrame([], "dst string, sha256 string")
+    if not os.path.isdir(folder):
+        return none
+    load = lambda paths: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    name = F.regexp_replace("path", r"^file:/+", "/").alias("dst")
+    names = written(load(folder).select(name), "names")
+    met = names.join(wanted.select("dst").distinct(), "dst", "left_semi")
+    few = [r.dst for r in met.select(wild_free("dst").alias("dst")).limit(NAMED + 1).collect()]
+    if not few:
+        return names.select("dst", F.lit(None).cast("string").alias("sha256"))
+    read = load(few if len(few) <= NAMED else folder).select(name, F.sha2("content", 256).alias("sha256"))
+    return names.join(read.join(met, "dst", "left_semi"), "dst", "left")
 
 
 def mirror(rejected: DataFrame, unkept: str, move: bool = False, overwrite: bool = False) -> DataFrame:
@@ -83,8 +90,8 @@ def mirror(rejected: DataFrame, unkept: str, move: bool = False, overwrite: bool
     Equal bytes at the destination are left alone; other files there are overwritten or a free name is taken. Of several
     files that would overwrite the same one the last does, the others get free names."""
     spark, unkept = rejected.sparkSession, unkept.rstrip("/")
-    existing = written(existing_files(spark, unkept), "existing")
     wanted = rejected.select(F.col("path").alias("src"), F.concat(F.lit(unkept + "/"), "rel_path").alias("dst"), "sha256")
+    existing = written(existing_files(spark, unkept, wanted), "existing")
     plan = mirror_plan(wanted, existing, overwrite)
     last = plan.where("action = 'overwrite'").groupBy("dst").agg(F.max("src").alias("last"))
     plan = plan.join(last, "dst", "left").withColumn("action", F.when((F.col("action") == "overwrite") & (F.col("src") != F.col("last")), "rename").otherwise(F.col("action"))).drop("last")
@@ -97,8 +104,8 @@ def mirror(rejected: DataFrame, unkept: str, move: bool = False, overwrite: bool
 def move_safe(safe: DataFrame, target: str, move: bool = True) -> DataFrame:
     """safe(path, sha256) into one flat folder under free names."""
     spark, target = safe.sparkSession, target.rstrip("/")
-    existing = written(existing_files(spark, target), "existing")
     plan = safe.select(F.col("path").alias("src"), F.concat(F.lit(target + "/"), F.substring_index("path", "/", -1)).alias("dst"), "sha256").withColumn("action", F.lit("copy"))
+    existing = written(existing_files(spark, target, plan.where(F.lit(False))), "existing")
     return apply_plan(collision_free(plan, "dst", "src", existing), move)
 
 

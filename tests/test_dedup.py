@@ -89,6 +89,44 @@ def test_lsh_finds_near_identical_vectors(spark):
     assert {p for p in got if p[0] < p[1]} <= want and len(want & got) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("most", [256, 20])
+def test_recall_of_hash_tables_against_brute_force(spark, most):
+    """3,000 vectors, near copies of a few among them, so that some keys are hot."""
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((3000, 32))
+    v[1500:2500] = v[:1000] + 0.25 * rng.standard_normal((1000, 32))
+    v[2500:] = v[rng.integers(0, 12, 500)] + 0.2 * rng.standard_normal((500, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(int(i), int(j)) for i, j in np.argwhere(np.triu(v @ v.T, 1) >= 0.9)}
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").repartition(4)
+    got = {(r.a, r.b) for r in dedup.lsh_pairs(df, "id", "v", 0.9, most=most).collect()}
+    assert got <= want and len(want) > 5000 and len(got) >= (0.95 if most == 256 else 0.5) * len(want)
+
+
+def test_pairs_inside_components_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "BLOCK_ROWS", 11)
+    v, df = vectors(spark)
+    within = spark.createDataFrame([(i, 0 if i % 3 else i) for i in range(80)], "node long, component long")
+    s, part = v @ v.T, {i: 0 if i % 3 else i for i in range(80)}
+    for least in (0.3, 0.9):
+        want = {(i, j) for i in part for j in part if i < j and part[i] == part[j] and s[i, j] >= least}
+        assert {(r.a, r.b) for r in dedup.cosine_pairs(df, "id", "v", least, within).collect()} == want
+        assert {(r.a, r.b) for r in dedup.cosine_pairs(df, "id", "v", least).collect()} == {(i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if s[i, j] >= least}
+
+
+def test_groups_with_many_equal_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((60, 24))
+    v[20:40] = v[0]
+    v[40:50] = v[1:11] + 0.02 * v[40:50]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(99, None)], "id long, v array<double>")
+    want = brute_components([(int(i), int(j)) for i, j in np.argwhere(np.triu(v @ v.T, 1) >= 0.9)])
+    for rows in (10**6, 5):  # beyond the bound hash tables are used
+        monkeypatch.setattr(dedup, "EXACT_ROWS", rows)
+        assert {r.node: r.component for r in dedup.near_groups_by_vector(df, "id", "v", None, 0.9).collect()} == want
+
+
 def test_edges_symmetric_or_strict(spark):
     near = spark.createDataFrame([(5, 1, 0.9), (1, 2, 0.9), (2, 1, 0.9), (3, 4, 0.1)], "i long, j long, similarity double")
     assert {tuple(r) for r in dedup.neighbour_edges(near, 0.5).collect()} == {(1, 5), (1, 2)}
