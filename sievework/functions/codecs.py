@@ -41,10 +41,7 @@ def from_png(data: bytes) -> np.ndarray | None:
         channels, step = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour], depth // 8
         unit = channels * step
         lines = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * unit)
-        out, before = np.zeros((h, w * unit), np.uint8), np.zeros(w * unit, np.uint8)
-        for y, line in enumerate(lines):
-            before = out[y] = _unfiltered(line[0], line[1:], before, unit)
-        image = out.reshape(h, w, channels, step)[..., 0]
+        image = _unfiltered(lines[:, 0], lines[:, 1:], unit).reshape(h, w, channels, step)[..., 0]
         if colour == 3:
             return palette[image[..., 0]]
         return np.repeat(image[..., :1], 3, 2) if channels < 3 else image[..., :3].copy()
@@ -52,24 +49,32 @@ def from_png(data: bytes) -> np.ndarray | None:
         return None
 
 
-def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray, unit: int) -> np.ndarray:
-    if kind == 0:
-        return line
-    if kind == 2:
-        return line + above
-    if kind == 1:
-        return np.add.accumulate(line.reshape(-1, unit), 0, dtype=np.uint8).ravel()
-    out = np.zeros(len(line) + unit, np.int32)
-    for i, x in enumerate(line.astype(int)):
-        left, up = out[i], int(above[i])
-        if kind == 3:
-            guess = (left + up) // 2
-        else:
-            corner = int(above[i - unit]) if i >= unit else 0
-            p = left + up - corner
-            guess = min((left, up, corner), key=lambda c: abs(p - c))
-        out[i + unit] = (x + guess) & 255
-    return out[unit:].astype(np.uint8)
+def _unfiltered(kinds: np.ndarray, lines: np.ndarray, unit: int) -> np.ndarray:
+    """The rows of a PNG without their filters; kinds has the filter of each row."""
+    h, n = lines.shape
+    out = np.zeros((h, n), np.uint8)
+    if (kinds < 3).all():  # each row at once
+        above = np.zeros(n, np.uint8)
+        for y, kind in enumerate(kinds.tolist()):
+            line = lines[y]
+            above = out[y] = line + above if kind == 2 else np.add.accumulate(line.reshape(-1, unit), 0, dtype=np.uint8).ravel() if kind == 1 else line
+        return out
+    # a pixel needs those to the left, above and between: pixels on one diagonal are independent
+    w = n // unit
+    left_of = np.isin(kinds, (1, 3, 4))[:, None]
+    full = np.zeros((h + 1, w + 1, unit), np.int16)
+    raw = lines.reshape(h, w, unit).astype(np.int16)
+    for d in range(h + w - 1):
+        y = np.arange(max(0, d - w + 1), min(h, d + 1))
+        x = d - y
+        left, up, corner = full[y + 1, x], full[y, x + 1], full[y, x]
+        p = left + up - corner
+        by_left, by_up, by_corner = np.abs(p - left), np.abs(p - up), np.abs(p - corner)
+        paeth = np.where((by_left <= by_up) & (by_left <= by_corner), left, np.where(by_up <= by_corner, up, corner))
+        kind = kinds[y][:, None]
+        guess = np.where(kind == 4, paeth, np.where(kind == 3, (left + up) >> 1, np.where(left_of[y], left, np.where(kind == 2, up, 0))))
+        full[y + 1, x + 1] = (raw[y, x] + guess) & 255
+    return full[1:, 1:].reshape(h, n).astype(np.uint8)
 
 
 def orientation(data: bytes) -> int:
@@ -134,6 +139,48 @@ def _codes(lengths: list[int], symbols: list[int]) -> dict[int, tuple[int, int]]
     return out
 
 
+def _bit_length(x: np.ndarray) -> np.ndarray:
+    return np.frexp(x.astype(np.float64))[1]
+
+
+def _entropy_steps(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(table, symbol, extra bits, their number) of the blocks' coefficients in zigzag order; blocks of the three planes
+    take turns. Tables 0 and 1 are for the first coefficient, 2 and 3 for the others."""
+    n = len(blocks)
+    chroma = (np.arange(n) % 3 > 0).astype(np.int64)
+    first = blocks[:, 0].astype(np.int64)
+    diff = first - np.concatenate([np.zeros(3, np.int64), first[:-3]])[:n]
+    owner, at = np.nonzero(blocks[:, 1:])
+    at = at + 1
+    value = blocks[owner, at].astype(np.int64)
+    new = np.diff(owner, prepend=-1) != 0
+    run = at - np.where(new, 0, np.concatenate([[0], at[:-1]])) - 1
+    long = run // 16  # each a step of its own
+    last = np.zeros(n, np.int64)
+    np.maximum.at(last, owner, at)
+    ends = np.flatnonzero(last < 63)
+    # (place in the scan, table, symbol, value) of all four sorts of steps; 66 places a block and two for each coefficient
+    many = np.repeat(np.arange(len(at)), long)
+    size_0, size = _bit_length(np.abs(diff)), _bit_length(np.abs(value))
+    place = np.concatenate([np.arange(n) * 130, owner[many] * 130 + 2 * at[many], owner * 130 + 2 * at + 1, ends * 130 + 129])
+    table = np.concatenate([chroma, 2 + chroma[owner[many]], 2 + chroma[owner], 2 + chroma[ends]])
+    symbol = np.concatenate([size_0, np.full(len(many), 0xF0), run % 16 << 4 | size, np.zeros(len(ends), np.int64)])
+    bits = np.concatenate([size_0, np.zeros(len(many), np.int64), size, np.zeros(len(ends), np.int64)])
+    number = np.concatenate([diff, np.zeros(len(many), np.int64), value, np.zeros(len(ends), np.int64)])
+    extra = np.where(number >= 0, number, number + (1 << bits) - 1)
+    order = np.argsort(place, kind="stable")
+    return table[order].astype(np.int64), symbol[order].astype(np.int64), extra[order], bits[order].astype(np.int64)
+
+
+def _packed_bits(value: np.ndarray, length: np.ndarray) -> bytes:
+    """Numbers of so many bits (32 at most) one after the other, the last byte filled with ones."""
+    owner = np.repeat(np.arange(len(value)), length)
+    end = np.cumsum(length)
+    shift = end[owner] - 1 - np.arange(len(owner))
+    bits = (value[owner] >> shift & 1).astype(np.uint8)
+    return np.packbits(np.concatenate([bits, np.ones(-len(bits) % 8, np.uint8)])).tobytes()
+
+
 def jpeg(image: np.ndarray, quality: int = 92) -> bytes:
     """A baseline JPEG without subsampling, with Huffman tables made for the image."""
     h, w = image.shape[:2]
@@ -151,35 +198,14 @@ def jpeg(image: np.ndarray, quality: int = 92) -> bytes:
     for plane, table in zip(planes, (tables[0], tables[1], tables[1]), strict=True):
         tiles = plane.reshape(plane.shape[0] // 8, 8, -1, 8).swapaxes(1, 2).reshape(-1, 8, 8)
         blocks.append(np.rint((dct @ tiles @ dct.T).reshape(-1, 64) / table).astype(int)[:, order])
-    steps: list[tuple[int, int, int, int]] = []  # table, symbol, extra bits, their number
-    last = [0, 0, 0]
-    for i in range(len(blocks[0])):
-        for c in range(3):
-            block, chroma = blocks[c][i], int(c > 0)
-            diff, last[c] = int(block[0]) - last[c], int(block[0])
-            size = abs(diff).bit_length()
-            steps.append((chroma, size, diff if diff >= 0 else diff + (1 << size) - 1, size))
-            run = 0
-            nonzero = np.flatnonzero(block[1:]) + 1
-            before = 0
-            for at in nonzero.tolist():
-                run, before = at - before - 1, at
-                while run > 15:
-                    steps.append((2 + chroma, 0xF0, 0, 0))
-                    run -= 16
-                v = int(block[at])
-                size = abs(v).bit_length()
-                steps.append((2 + chroma, run << 4 | size, v if v >= 0 else v + (1 << size) - 1, size))
-            if before < 63:
-                steps.append((2 + chroma, 0, 0, 0))
-    counts = [Counter() for _ in range(4)]
-    for t, s, _, _ in steps:
-        counts[t][s] += 1
-    huffman = [_code_lengths(c or {0: 1}) for c in counts]
-    codes = [_codes(*x) for x in huffman]
-    bits = "".join(f"{codes[t][s][0]:0{codes[t][s][1]}b}" + (f"{v:0{n}b}" if n else "") for t, s, v, n in steps)
-    bits += "1" * (-len(bits) % 8)
-    scan = int(bits, 2).to_bytes(len(bits) // 8).replace(b"\xff", b"\xff\x00")
+    table, symbol, extra, size = _entropy_steps(np.stack(blocks, 1).reshape(-1, 64))
+    counts = np.bincount(table * 256 + symbol, minlength=1024).reshape(4, 256)
+    huffman = [_code_lengths({int(s): int(c[s]) for s in np.flatnonzero(c)} or {0: 1}) for c in counts]
+    code, length = np.zeros((4, 256), np.int64), np.zeros((4, 256), np.int64)
+    for t, own in enumerate(huffman):
+        for s, (bits, n) in _codes(*own).items():
+            code[t, s], length[t, s] = bits, n
+    scan = _packed_bits(code[table, symbol] << size | extra, length[table, symbol] + size).replace(b"\xff", b"\xff\x00")
     part = lambda mark, data: b"\xff" + bytes([mark]) + struct.pack(">H", len(data) + 2) + data
     out = b"\xff\xd8" + part(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0")
     out += b"".join(part(0xDB, bytes([i, *t[order].astype(int).tolist()])) for i, t in enumerate(tables))

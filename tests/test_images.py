@@ -77,6 +77,47 @@ def test_png_round_trip_and_damage():
     assert codecs.from_png(data[:60]) is None and codecs.from_png(b"garbage") is None
 
 
+@pytest.mark.parametrize("unit", [1, 3, 4])
+def test_png_filters_undo_what_the_standard_says(unit):
+    rng = np.random.default_rng(unit)
+    image, kinds = rng.integers(0, 256, (23, 17 * unit)), np.concatenate([np.arange(5), rng.integers(0, 5, 18)])
+    lines = np.zeros_like(image)
+    for y in range(23):
+        for x in range(17 * unit):
+            left, up = image[y, x - unit] if x >= unit else 0, image[y - 1, x] if y else 0
+            corner = image[y - 1, x - unit] if y and x >= unit else 0
+            p = left + up - corner
+            near = min((left, up, corner), key=lambda c: abs(p - c))
+            lines[y, x] = (image[y, x] - (0, left, up, (left + up) // 2, near)[kinds[y]]) % 256
+    assert (codecs._unfiltered(kinds.astype(np.uint8), lines.astype(np.uint8), unit) == image).all()
+
+
+def test_jpeg_steps_say_what_the_blocks_hold():
+    """The steps, read back one by one, give the coefficients."""
+    rng = np.random.default_rng(8)
+    blocks = np.where(rng.random((30, 64)) < rng.random((30, 1)) * 0.4, rng.integers(-200, 200, (30, 64)), 0)
+    blocks[4] = 0
+    blocks[7, 63] = 5
+    steps, last = list(zip(*(x.tolist() for x in codecs._entropy_steps(blocks)), strict=True)), [0, 0, 0]
+    value = lambda extra, n: extra if n and extra >> n - 1 else extra - (1 << n) + 1 if n else 0
+    for i, want in enumerate(blocks):
+        got = np.zeros(64, int)
+        table, symbol, extra, n = steps.pop(0)
+        assert (table, symbol) == (int(i % 3 > 0), n)
+        got[0] = last[i % 3] = last[i % 3] + value(extra, n)
+        at = 1
+        while at < 64:
+            table, symbol, extra, n = steps.pop(0)
+            assert table == 2 + (i % 3 > 0)
+            if symbol == 0:
+                break
+            at += symbol >> 4
+            got[at] = value(extra, n)
+            at += 1
+        assert (got == want).all()
+    assert not steps
+
+
 @pytest.fixture
 def folder(tmp_path):
     root = tmp_path / "in"
