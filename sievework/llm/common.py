@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.plans.scratch import written  # noqa: F401
-
+from sievework.plans.scratch import discard, written  # noqa: F401
 
 
 #: A word is a run of bytes other than these; bytes.split() has the same rule.
@@ -47,6 +48,35 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2 <
             start = stop
 
 
+@cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def give_back() -> None:
+    """Returns freed memory to the system; Python workers live on after a task, and a driver may be small."""
+    pa.default_memory_pool().release_unused()
+    if libc := _libc():
+        libc.malloc_trim(0)
+
+
+def views(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
+    """The arrays that a column of binaries holds, without a copy."""
+    out = []
+    for chunk in column.chunks:
+        if not len(chunk):
+            continue
+        chunk = chunk.cast(pa.large_binary())
+        _, offsets, data = chunk.buffers()
+        at = np.frombuffer(offsets, np.int64)[chunk.offset : chunk.offset + len(chunk) + 1]
+        flat = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
+        out += [flat[a:b].view(kind) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return out
+
+
 def most_frequent(df: DataFrame, count: str, most: int) -> DataFrame:
     """The rows with the highest counts, at most `most` of them.
 
@@ -62,6 +92,15 @@ def most_frequent(df: DataFrame, count: str, most: int) -> DataFrame:
     return df.where(level >= least) if least is not None else df.where(F.lit(False))
 
 
+def common_words(df: DataFrame, word: str, count: str, most: int) -> DataFrame:
+    """The rows with the highest counts, for a broadcast of bounded size: at most `most` words of 64 characters or
+    less, and (so that a hot line without a space is no join key) at most a thousand longer ones, each of 65,536
+    characters at most and a thousandth of all words."""
+    short = most_frequent(df.where(F.length(word) <= 64), count, most)
+    total = df.agg(F.sum(count)).first()[0] or 0
+    return short.union(df.where((F.length(word) > 64) & (F.length(word) <= 65_536) & (F.col(count) * 1000 >= total) & (F.col(count) > 1)))
+
+
 def low_words(text: str | None) -> list[bytes]:
     """Words with A-Z lower-cased; bytes.lower() and bytes.split() touch ASCII only."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
