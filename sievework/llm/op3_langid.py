@@ -5,9 +5,14 @@ columns; a document's vector is (1 + ln tf) * idf at unit length. The weights ar
 follow-the-regularised-leader with per-coordinate steps and an elastic-net penalty (most stay zero), then one
 temperature is fitted on rows kept apart, so that scores are probabilities.
 
-The classifier is fitted on `sample` labelled rows (a fixed number, chosen by a hash of the id); prediction
-reads every whole text in one scan without a shuffle. Null texts and texts without a letter get `und` with
-score 0; without any usable training row all rows do. Repeated rows and null ids are rows like others.
+The document frequencies behind the idf are counted over all training rows, summed by column in each task first. The
+weights are fitted on at most `sample` different texts (a documented bound), each language's share of them chosen by
+a hash of the text, so that copies of one text and rows without a letter take up no places and a rare language keeps
+its own. Prediction reads every whole text in one scan without a shuffle.
+
+Null texts and texts without a letter get `und` with score 0; without any usable training row all rows do. Ids are
+never looked at in training, so null and repeated ids are rows like others. Of equal texts with several languages
+each language counts. Very long texts are read in batches of their own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import crc_of_id, mixed, pick, small_batches
+from sievework.llm.common import crc_of_id, discard, give_back, mixed, pick, small_batches, views, written
 
 COLUMNS, ORDERS = 1 << 17, 4
 UNKNOWN = "und"
@@ -104,13 +109,13 @@ def vector(idf: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
     return at, (x / max(1e-12, np.sqrt(x @ x))).astype(np.float32)
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 3, seed: int = 7) -> Model:
+def inverse_frequency(df: np.ndarray, n: int) -> np.ndarray:
+    return (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+
+
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray, epochs: int = 3, seed: int = 7) -> Model:
     """rows: language, columns, frequencies. Every fifth row is for the temperature alone."""
     classes = sorted({r[0] for r in rows})
-    df = np.zeros(COLUMNS)
-    for _, at, _ in rows:
-        df[at] += 1
-    idf = (np.log((1 + len(rows)) / (1 + df)) + 1).astype(np.float32)
     if not classes:
         return Model([], idf, np.zeros((COLUMNS, 0), np.float32), 1.0)
     data = [(classes.index(y), *vector(idf, at, n)) for y, at, n in rows]
@@ -132,26 +137,67 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 3, seed: i
     return Model(classes, idf, weights, float(min(grid, key=loss)))
 
 
+def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many of rows(text) each column occurs, and the number of texts with a letter."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(COLUMNS + 1, np.int64)  # the last one counts the texts
+        for batch in small_batches(batches, "text"):
+            for x in batch.column(0).to_pylist():
+                if grams := gram_counts(x):
+                    df[grams[0]] += 1
+                    df[-1] += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], ["at", "n"])
+
+    got = rows.select("text").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # COLUMNS + 1 rows at most
+    df = np.zeros(COLUMNS + 1)
+    df[got.column("at").to_numpy()] = got.column("n").to_numpy()
+    return df[:-1], int(df[-1])
+
+
 def train(docs: DataFrame, sample: int = 4000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Fits on at most `sample` rows of docs; the caller leaves out what must not be learnt from."""
-    rows = pick(docs, doc_id, text, lang).toDF("doc_id", "text", "lang").where("text is not null and lang is not null")
-    mark = F.xxhash64(F.col("doc_id").cast("string"), F.lit(11))
-    kept = rows.select("doc_id", mark.alias("mark")).orderBy("mark").limit(sample).select("doc_id").distinct()
+    rows = pick(docs, text, lang).toDF("text", "lang").where("text is not null and lang is not null")
+    mark = F.xxhash64(F.lit(11), "text").alias("mark")
+    usable = rows.where(F.col("text").rlike(r"\p{L}"))
+    marks = written(usable.select("lang", mark).distinct(), "training-texts")
+    counts = marks.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()  # a language takes one place at least
+    quota = share_out([r["count"] for r in counts], sample)
+    # marks are spread evenly, so a share of their range has about that share of a language's texts
+    limits = [(r.lang, q / r["count"] * 2.0**64 - 2.0**63) for r, q in zip(counts, quota, strict=True)]
+    chosen = marks.join(F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, most double")), "lang").where("mark <= most")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [gram_counts(x) for x in batch.column(1).to_pylist()]
-            cut = [(y, x[0].astype("<i4").tobytes(), x[1].astype("<i4").tobytes()) for y, x in zip(batch.column(2).to_pylist(), found, strict=True) if x]
-            columns = list(zip(*cut, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["lang", "at", "n"])
-
-    # `sample` ids at most are broadcast; repeated ids could bring more rows than that, hence the limit
-    got = rows.join(F.broadcast(kept), "doc_id", "left_semi").select("doc_id", "text", "lang").mapInArrow(grams, "lang string, at binary, n binary").limit(sample).toArrow()
-    data = [(y, np.frombuffer(at, "<i4"), np.frombuffer(n, "<i4")) for y, at, n in zip(*(got.column(i).to_pylist() for i in range(3)), strict=True)]
-    data.sort(key=lambda r: (r[1].tobytes(), r[0]))
-    del got
-    pa.default_memory_pool().release_unused()  # the driver may be small
-    return fit(data)
+        seen = set()
+        for batch in small_batches(batches, "text"):
+            out = []
+            for x, y, m in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if (y, m) not in seen and (found := gram_counts(x)):
+                    seen.add((y, m))
+                    out.append((y, m, found[0].astype("<i4").tobytes(), found[1].astype("<i4").tobytes()))
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["lang", "mark", "at", "n"])
+
+    # about `sample` rows are broadcast and come back, give or take the spread of hashes
+    found = usable.select("text", "lang", mark).join(F.broadcast(chosen.select("lang", "mark")), ["lang", "mark"], "left_semi").select("text", "lang", "mark")
+    got = found.mapInArrow(grams, "lang string, mark long, at binary, n binary").dropDuplicates(["lang", "mark"]).toArrow()
+    order = sorted(range(got.num_rows), key=list(zip(got.column("mark").to_pylist(), got.column("lang").to_pylist(), strict=True)).__getitem__)[:sample]
+    labels, at, n = got.column("lang").to_pylist(), views(got.column("at"), "<i4"), views(got.column("n"), "<i4")
+    model = fit([(labels[i], at[i], n[i]) for i in order], inverse_frequency(*document_frequencies(rows)))
+    discard(marks)
+    del got, at, n
+    give_back()
+    return model
+
+
+def share_out(counts: list[int], total: int) -> list[int]:
+    """Places for languages with so many texts: equal shares, and what some don't need goes to the others."""
+    out, places = [0] * len(counts), total
+    for k, i in enumerate(sorted(range(len(counts)), key=counts.__getitem__)):
+        out[i] = min(counts[i], places // (len(counts) - k))
+        places -= out[i]
+    return out
 
 
 def predicted(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
