@@ -5,14 +5,17 @@ Each term's 128 hash bits vote with its weight; the sign of the sums is the fing
 
 near_fingerprints() finds every pair within a radius r by permuted block tables: the bits fall into r + 2
 blocks, of which two must be equal in any such pair, so a table for each choice of two blocks, led by those
-blocks, has all pairs as equal keys. Equal fingerprints are collapsed first.
+blocks, has all pairs as equal keys. Equal fingerprints are collapsed first. A key that more than MOST fingerprints
+share is cut again: the other bits fall into r + 1 pieces, of which one must be equal. near_counts() turns the pairs
+into the number of other documents within the radius; copies count by the size of their group, never as pairs.
 
 with_edits() compares each document with an edited form whose last quarter is replaced by the beginning of the
 next document. Rows are range-partitioned by id (ties by a hash of the text), so the next document is the next
 row of the stream; only the two edge rows of each partition travel again.
 
 Null text counts as empty (fingerprint of no votes: all zero bits); null ids come first; repeated rows follow
-each other; a table of one row has itself as next; an empty table gives an empty result.
+each other; a table of one row has itself as next; an empty table gives an empty result. Long texts are read in batches
+of their own. Null fingerprints are near nothing.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from pyspark.sql import functions as F
 from sievework.llm.common import Remembered, low_words, mixed, pick, shingle_hashes, small_batches, written
 
 BITS, SHINGLE = 128, 3
+RADIUS, MOST = 3, 64
 
 
 class SimHash:
@@ -62,15 +66,17 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         simhash = SimHash()
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([simhash.of(x).hex() for x in batch.column(1).to_pylist()], pa.string())], ["doc_id", "fingerprint"])
 
     rows = pick(docs, doc_id, text).toDF("doc_id", "text")
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
-def with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
+def with_edits(docs: DataFrame, radius: int | None = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near).
+
+    n_near: how many other documents have a fingerprint within the radius; without a radius it is left out."""
     rows = pick(docs, doc_id, text).toDF("doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -131,7 +137,13 @@ def with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             yield pa.RecordBatch.from_arrays(table(batch.column(0).to_pylist(), done, batch.schema.field(0)), names)
 
     late = ends.join(nexts, "after").select("doc_id", "own", "next").mapInArrow(finish, result)
-    return passed.where("edge is null").select(*names).unionByName(late)
+    out = passed.where("edge is null").select(*names).unionByName(late)
+    if radius is None:
+        return out
+    # the edge rows' own fingerprints come with the late ones
+    marks = out.select("fingerprint")
+    near = written(near_counts(marks, radius), "near-counts")
+    return out.join(near, "fingerprint", "left").select(*names, F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 
 def _bits(hi: Column, lo: Column, start: int, stop: int) -> Column:
@@ -144,19 +156,50 @@ def _bits(hi: Column, lo: Column, start: int, stop: int) -> Column:
     return F.shiftleft(take(hi, start, 64), stop - 64).bitwiseOR(take(lo, 0, stop - 64))
 
 
-def near_fingerprints(marks: DataFrame, radius: int = 3) -> DataFrame:
+def _pieces(lead: tuple[int, ...], ends: list[int], n: int) -> list[list[tuple[int, int]]]:
+    """The bits outside the lead blocks as n pieces, each a list of ranges."""
+    rest = [b for i in range(len(ends) - 1) if i not in lead for b in range(ends[i], ends[i + 1])]
+    out = []
+    for k in range(n):
+        own = rest[round(k * len(rest) / n) : round((k + 1) * len(rest) / n)]
+        starts = [i for i, b in enumerate(own) if not i or b != own[i - 1] + 1] + [len(own)]
+        out.append([(own[i], own[j - 1] + 1) for i, j in itertools.pairwise(starts)])
+    return out
+
+
+def near_fingerprints(marks: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
     """(a, b, distance): all pairs a < b of different fingerprints at most `radius` bits apart.
 
     marks has a column fingerprint (hexadecimal); who holds a fingerprint is a join with marks."""
     half = lambda at: F.conv(F.substring("fingerprint", at, 16), 16, -10).cast("long")
-    distinct = marks.select("fingerprint").where("fingerprint is not null").distinct().select("fingerprint", half(1).alias("hi"), half(17).alias("lo"))
+    distinct = marks.select("fingerprint").where("fingerprint is not null").distinct().select(half(1).alias("hi"), half(17).alias("lo"))
     blocks = max(3, radius + 2)
     ends = [round(i * BITS / blocks) for i in range(blocks + 1)]
-    value = [_bits(F.col("hi"), F.col("lo"), ends[i], ends[i + 1]) for i in range(blocks)]
+    hashed = lambda *ranges: F.xxhash64(*[_bits(F.col("hi"), F.col("lo"), i, j) for r in ranges for i, j in ([r] if r[1] - r[0] <= 64 else [(r[0], r[0] + 64), (r[0] + 64, r[1])])])
     lead = list(itertools.combinations(range(blocks), blocks - radius if blocks > radius else 1))
-    keys = F.array(*[F.xxhash64(F.lit(k), *[value[i] for i in own]) for k, own in enumerate(lead)])
-    tables = distinct.select("fingerprint", "hi", "lo", F.posexplode(keys).alias("table", "key"))
-    a, b = tables.alias("a"), tables.alias("b")
+    keys = F.array(*[F.xxhash64(F.lit(k), hashed(*[(ends[i], ends[i + 1]) for i in own])) for k, own in enumerate(lead)])
+    tables = written(distinct.select("hi", "lo", F.posexplode(keys).alias("table", "key")), "block-tables")
+    hot = written(tables.groupBy("table", "key").count().where(F.col("count") > most).select("table", "key"), "hot-blocks")
+    pieces = [F.array(*[hashed(*p) for p in _pieces(own, ends, radius + 1)]) for own in lead]
+    of_table = pieces[-1]
+    for k in range(len(lead) - 1):
+        of_table = F.when(F.col("table") == k, pieces[k]).otherwise(of_table)
+    cut = tables.join(hot, ["table", "key"], "left_semi").select("hi", "lo", "table", "key", F.posexplode(of_table).alias("piece", "bits"))
+    cut = cut.select("hi", "lo", F.xxhash64("table", "key", "piece", "bits").alias("key"))
+    met = tables.join(hot, ["table", "key"], "left_anti").select("hi", "lo", "key").union(cut)
+    a, b = met.alias("a"), met.alias("b")
     distance = F.bit_count(F.col("a.hi").bitwiseXOR(F.col("b.hi"))) + F.bit_count(F.col("a.lo").bitwiseXOR(F.col("b.lo")))
-    same = (F.col("a.table") == F.col("b.table")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fingerprint") < F.col("b.fingerprint"))
-    return a.join(b, same).where(distance <= radius).select(F.col("a.fingerprint").alias("a"), F.col("b.fingerprint").alias("b"), distance.alias("distance")).distinct()
+    name = lambda x: F.lower(F.concat(F.lpad(F.hex(f"{x}.hi"), 16, "0"), F.lpad(F.hex(f"{x}.lo"), 16, "0")))
+    same = (F.col("a.key") == F.col("b.key")) & (F.struct("a.hi", "a.lo") < F.struct("b.hi", "b.lo")) & (distance <= radius)
+    pairs = a.join(b, same).select(name("a").alias("x"), name("b").alias("y"), distance.alias("distance")).distinct()
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
+
+
+def near_counts(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fingerprint, n_near): how many other rows of marks have a fingerprint within the radius; only where there are any."""
+    held = written(marks.where("fingerprint is not null").groupBy("fingerprint").agg(F.count("*").alias("n")), "fingerprints")
+    pairs = near_fingerprints(held, radius)
+    around = pairs.select(F.col("a").alias("fingerprint"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    others = around.join(held.select(F.col("fingerprint").alias("other"), F.col("n").alias("n_other")), "other").groupBy("fingerprint").agg(F.sum("n_other").alias("n_others"))
+    counted = held.join(others, "fingerprint", "left").select("fingerprint", (F.col("n") - 1 + F.coalesce("n_others", F.lit(0))).alias("n_near"))
+    return counted.where("n_near > 0")
