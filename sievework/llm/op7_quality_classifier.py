@@ -25,11 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import Remembered, pick, shingle_hashes, small_batches
+from sievework.llm.common import Remembered, give_back, pick, shingle_hashes, small_batches, views
 
 COLUMNS = 1 << 18
 SHARE = 4.0
 START = 5
+#: Thresholds stay so far apart at least, so that no grade's probability vanishes.
+GAP = 0.02
 LETTERS = re.compile(r"[^\W\d_]+")
 OTHERS = re.compile(r"([^\w])\1+")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -113,7 +115,8 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, epochs: int
                 if 0 <= k < grades - 1:
                     seen[k] += slope * slope
                     thresholds[k] -= 0.1 * slope / np.sqrt(seen[k])
-            thresholds = np.maximum.accumulate(thresholds + 1e-6 * np.arange(grades - 1))
+            if (thresholds[1:] < thresholds[:-1] + GAP).any():  # only where the order would be lost
+                thresholds = np.maximum.accumulate(thresholds - GAP * np.arange(grades - 1)) + GAP * np.arange(grades - 1)
     return Ordinal(grades, weights(slice(None)).astype(np.float32), thresholds)
 
 
@@ -130,18 +133,20 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample: int = 20
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features()
-        for batch in batches:
-            found = [make.of(x) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([a.astype("<i4").tobytes() for a, _ in found], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in found], pa.binary())], ["grade", "at", "x"])
+        for batch in small_batches(batches, "text"):
+            found = [(at.astype("<i4").tobytes(), x.astype("<f4").tobytes()) for at, x in map(make.of, batch.column(0).to_pylist())]
+            order = pa.array([xxhash.xxh3_64_intdigest(at + x) - (1 << 63) for at, x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(1), order, pa.array([at for at, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], ["grade", "order", "at", "x"])
 
     rows = pick(docs, doc_id, text).toDF("doc_id", "text").where("text is not null")
     # `sample` ids and grades are broadcast at most; the limit holds if ids are repeated in docs
-    got = rows.join(F.broadcast(chosen), "doc_id").select("text", "grade").mapInArrow(features, "grade int, at binary, x binary").limit(sample).toArrow()
-    data = [(grade, np.frombuffer(at, "<i4"), np.frombuffer(x, "<f4")) for grade, at, x in zip(*(got.column(i).to_pylist() for i in range(3)), strict=True)]
-    data.sort(key=lambda r: (r[1].tobytes(), r[0]))
-    del got
-    pa.default_memory_pool().release_unused()  # the driver may be small
-    return fit(data, grades)
+    got = rows.join(F.broadcast(chosen), "doc_id").select("text", "grade").mapInArrow(features, "grade int, order long, at binary, x binary").limit(sample).toArrow()
+    # the same order whatever task gave a row
+    data = [(g, at, x) for _, g, at, x in sorted(zip(got.column("order").to_pylist(), got.column("grade").to_pylist(), views(got.column("at"), "<i4"), views(got.column("x"), "<f4"), strict=True), key=lambda r: r[:2])]
+    model = fit(data, grades)
+    del got, data
+    give_back()
+    return model
 
 
 def scored(docs: DataFrame, model: Ordinal, least: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -169,6 +174,8 @@ def selected(docs: DataFrame, model: Ordinal, least: float = 0.5, text: str = "t
         for batch in small_batches(batches, text):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             yield batch.filter(pa.array([x is not None and bool(m.tails(*make.of(x))[-1] >= least) for x in texts], pa.bool_()))
+        make.words.clear()
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
