@@ -5,13 +5,17 @@ of byte contexts is pretrained on the training rows: all counts come from the ru
 over the corpus. A byte is coded in the longest known context; an unseen byte escapes (method D: half a count of
 each distinct byte goes to the escape) to the next shorter one, where the bytes of the longer context are excluded, down to
 all 256 bytes. So each text has a proper probability. The order is the same for every corpus, and the trie is never
-in one place: the runs lie in a table, dealt out by the two bytes before the coded one, so that one part has all longer
-contexts of its bytes, as sorted arrays; the levels below are the same for all parts (65,536 runs of two bytes at most).
-The values of the `runs` most frequent runs are broadcast. What a document has besides is counted by run, valued in the
-parts and joined to it by a shuffle.
+in one place. The runs lie in a table, dealt out by a hash of the DEEP bytes before the coded one, so that one part has all
+longer contexts of its bytes as sorted arrays, at most 65,536 runs of any DEEP bytes. A byte that is not found there goes on,
+with the set of bytes that it must not be, to parts dealt by the NEAR bytes before it, where the runs of DEEP bytes lie:
+again at most 65,536 in a part, which is copied for as many shares of the questions as there are. The levels below are the
+same for all parts (65,536 runs of two bytes at most). The values of the `runs` most frequent runs are broadcast. What a
+document has besides is counted by run, valued in the parts and joined to it by a shuffle.
+
+bits_per_byte is the code length by the coded bytes (the end is one), so that texts of different lengths compare.
 
 Word counts of the whole corpus are joined to each document's words: the `head` most frequent words in the scan
-(a fixed number of short words), all others by a shuffle join.
+(a fixed number of short words, and the few longer ones that are hot), all others by a shuffle join.
 
 Null text counts as empty: the end token alone. Repeated rows and null ids each keep their row (a null id is
 not held out). Without training rows the model is uniform over bytes and the base has no counts; the base of an
@@ -29,11 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.common import crc_of_id, low_words, mixed, most_frequent, pick, small_batches, written
+from sievework.llm.common import common_words, crc_of_id, give_back, low_words, mixed, most_frequent, pick, small_batches, written
 
 ORDER, RUNS, HEAD, FLUSH = 5, 2_000_000, 150_000, 200_000
 SLOTS = 1 << 20
-DEALT = 2  # bytes before the coded one that deal out the runs
+DEEP, NEAR = 4, 2  # bytes before the coded one that deal out the runs
+#: Questions in a share of the second parts, and most of the shares.
+SHARE, MOST_SHARES = 4_000_000, 4096
 
 
 def coded(words: list[bytes]) -> bytes:
@@ -73,8 +79,8 @@ def narrow(x: np.ndarray) -> np.ndarray:
 class Level:
     """Pairs (context, byte) and contexts of one length, sorted."""
 
-    def __init__(self, pairs: np.ndarray, counts: np.ndarray):
-        self.pairs, self.counts = pairs, narrow(counts)
+    def __init__(self, pairs: np.ndarray, counts: np.ndarray, length: int):
+        self.pairs, self.counts, self.length = pairs, narrow(counts), length
         context = pairs >> np.uint64(8)
         self.first = np.flatnonzero(np.diff(context, prepend=context[:1] ^ np.uint64(1)) != 0) if len(pairs) else np.empty(0, np.int64)
         self.contexts = context[self.first]
@@ -124,29 +130,40 @@ class Head(Values):
 
 class Ppm(Values):
     """The trie of some runs. With `base`, the trie of the shortest contexts of the whole corpus, the runs are all those
-    that end in some contexts one byte longer than the base's, and only these contexts are asked for."""
+    that end in some contexts one byte longer than the base's, and only these contexts are asked for; with `least`
+    instead, contexts below that length are left to others."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int, base: Ppm | None = None):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int, base: Ppm | None = None, least: int = 0):
         self.order = order
         self.levels: list[Level] = [None] * (order + 1)
-        least = len(base.levels) if base else 0
-        for j in range(order, least - 1, -1):
+        self.least = len(base.levels) if base else least
+        for j in range(order, self.least - 1, -1):
             keys, counts = summed(low(keys, j + 1), counts)
-            self.levels[j] = Level(keys, counts)
-        self.levels[:least] = base.levels if base else []
-        for j in range(order, max(least, 1) - 1, -1):
+            self.levels[j] = Level(keys, counts, j)
+        if base:
+            self.levels[: self.least] = base.levels
+        for j in range(order, max(self.least if base else least + 1, 1) - 1, -1):
             up, down = self.levels[j], self.levels[j - 1]
             if len(up.pairs):
                 up.below = narrow(np.add.reduceat(down.counts[np.searchsorted(down.pairs, low(up.pairs, j))].astype(np.int64), up.first))
-        for level in self.levels[least:]:
-            del level.first
+        self.least = 0 if base else least
 
     def evaluate(self, keys: np.ndarray) -> np.ndarray:
         """log10 P(last byte | bytes before) for each key."""
+        out, going, gone_n, gone_q = self.descend(keys)
+        out[going] -= np.log10(256 - gone_q[going])
+        return out
+
+    def descend(self, keys: np.ndarray, known_bytes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What the levels down to the least say of each key, which keys have no answer yet, and what is gone for them.
+
+        known_bytes: for each key the bytes it can't be, 256 bits, from levels above these."""
         out = np.zeros(len(keys))
         gone_n, gone_q = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        if known_bytes is not None:
+            gone_n, gone_q = self.counted(keys, known_bytes), np.bitwise_count(known_bytes).sum(1).astype(np.int64)
         going = np.arange(len(keys))
-        for j in range(self.order, -1, -1):
+        for j in range(self.order, self.least - 1, -1):
             level = self.levels[j]
             at, known = found(level.contexts, low(keys[going], j + 1) >> np.uint64(8))
             pair, seen = found(level.pairs, low(keys[going], j + 1))
@@ -159,7 +176,32 @@ class Ppm(Values):
             gone_n[going] = np.where(known, level.below[at] if len(level.contexts) else 0, 0)
             gone_q[going] = np.where(known, level.distinct[at] if len(level.contexts) else 0, 0)
             going = going[~seen]
-        out[going] -= np.log10(256 - gone_q[going])
+        return out, going, gone_n, gone_q
+
+    def _entries(self, level: Level, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of all pairs in each key's context, and whose they are."""
+        bits = np.uint64(8)
+        context = low(keys, level.length + 1) >> bits
+        start, stop = np.searchsorted(level.pairs >> bits, context, "left"), np.searchsorted(level.pairs >> bits, context, "right")
+        times = stop - start
+        owner = np.repeat(np.arange(len(keys)), times)
+        return np.repeat(start - np.cumsum(times) + times, times) + np.arange(len(owner)), owner
+
+    def counted(self, keys: np.ndarray, known_bytes: np.ndarray) -> np.ndarray:
+        """What the given bytes count in each key's longest context here."""
+        level = self.levels[self.order]
+        at, owner = self._entries(level, keys)
+        byte = (level.pairs[at] & np.uint64(255)).astype(np.int64)
+        inside = known_bytes[owner, byte >> 6] >> (byte & 63).astype(np.uint64) & np.uint64(1)
+        return np.bincount(owner, level.counts[at] * inside.astype(np.int64), len(keys)).astype(np.int64)
+
+    def bytes_seen(self, keys: np.ndarray) -> np.ndarray:
+        """The bytes of each key's shortest context here, as four words of 64 bits."""
+        level = self.levels[self.least]
+        at, owner = self._entries(level, keys)
+        byte = (level.pairs[at] & np.uint64(255)).astype(np.int64)
+        out = np.zeros((len(keys), 4), np.uint64)
+        np.bitwise_or.at(out, (owner, byte >> 6), np.uint64(1) << (byte & 63).astype(np.uint64))
         return out
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
@@ -211,16 +253,6 @@ def run_table(train: DataFrame, order: int) -> DataFrame:
     return train.mapInArrow(gather, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def trained(train: DataFrame, order: int = ORDER, *, most: int) -> Ppm:
-    """The whole trie in one place, of a lower order if it would have over `most` runs; scored() has no use for it."""
-    table = written(run_table(train, order), "byte-runs")
-    while order and table.count() > most:
-        order -= 1
-        table = table.select(F.col("key").bitwiseAND((1 << 8 * (order + 1)) - 1).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n"))
-    got = table.toArrow()
-    return Ppm(*_runs(got), order)
-
-
 def _runs(got: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy()
 
@@ -236,37 +268,73 @@ def top_values(table: DataFrame, runs: int) -> Head:
     keys, n = _runs(got)
     head = Head(keys, np.log10((2 * n - 1) / (2 * got.column("total").to_numpy())))  # the longest context has them
     del got, keys, n
-    pa.default_memory_pool().release_unused()  # the driver may be small
+    give_back()
     return head
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], columns: list[str]) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """The runs of a part with their counts, and the columns of the questions (rows with n = 0)."""
+    keys, counts, asked = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], {c: [] for c in columns}
+    for batch in batches:
+        key, n = _runs(pa.table(batch))
+        keys.append(key[n > 0])
+        counts.append(n[n > 0])
+        for c in columns:
+            asked[c].append(pa.table(batch).column(c).to_numpy()[n == 0])
+    return np.concatenate(keys), np.concatenate(counts), {c: np.concatenate(x) if x else np.empty(0) for c, x in asked.items()}
+
+
 def run_values(table: DataFrame, asked: DataFrame, order: int) -> DataFrame:
     """(key, value) for the runs asked(key), which are distinct, in the trie of table(key, n)."""
-    spark = table.sparkSession
-    dealt = min(DEALT, order)
+    spark, words = table.sparkSession, ["w0", "w1", "w2", "w3"]
+    near, deep = min(NEAR, order), DEEP if order >= DEEP else None
+    last = lambda k: F.shiftrightunsigned("key", 8).bitwiseAND((1 << 8 * k) - 1)
+    shorter = lambda k: table.groupBy(F.col("key").bitwiseAND((1 << 8 * k) - 1).alias("key")).agg(F.sum("n").alias("n"))
     base = None
-    if dealt:  # 256 ** dealt rows at most
-        short = table.groupBy(F.col("key").bitwiseAND((1 << 8 * dealt) - 1).alias("key")).agg(F.sum("n").alias("n")).toArrow()
-        base = spark.sparkContext.broadcast(Ppm(*_runs(short), dealt - 1))
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, asked = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-        for batch in batches:
-            key, n = _runs(pa.table(batch))
-            keys.append(key[n > 0])
-            counts.append(n[n > 0])
-            asked.append(key[n == 0])
-        want = np.concatenate(asked)
+    if near:  # 256 ** near rows at most
+        base = spark.sparkContext.broadcast(Ppm(*_runs(shorter(near).toArrow()), near - 1))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, asked = _gathered(batches, ["key"])
+        want = asked["key"].astype(np.int64).view(np.uint64)
         if not len(want):
             return
-        ppm = Ppm(np.concatenate(keys), np.concatenate(counts), order, base.value if base else None)
+        ppm = Ppm(keys, counts, order, least=deep)
         for i in range(0, len(want), FLUSH):
             own = want[i : i + FLUSH]
-            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(ppm.evaluate(own))], ["key", "value"])
-
-    both = table.select("key", "n").unionByName(asked.select("key", F.lit(0).cast("long").alias("n")))
-    near = F.shiftrightunsigned("key", 8).bitwiseAND((1 << 8 * dealt) - 1)
-    return both.repartition(near).mapInArrow(part, "key long, value double")
+            out, going, _, _ = ppm.descend(own)
+            seen = np.zeros((len(own), 4), np.uint64)
+            seen[going] = ppm.bytes_seen(own[going])
+            done = np.ones(len(own), bool)
+            done[going] = False
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(out), pa.array(done), *(pa.array(seen[:, k].view(np.int64)) for k in range(4))], ["key", "value", "done", *words])
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, asked = _gathered(batches, ["key", "value", *words])
+        want = asked["key"].astype(np.int64).view(np.uint64)
+        if not len(want):
+            return
+        gone = np.stack([asked[w].astype(np.int64).view(np.uint64) for w in words], 1)
+        ppm = Ppm(keys, counts, deep - 1 if deep else order, base.value if base else None)
+        for i in range(0, len(want), FLUSH):
+            own = want[i : i + FLUSH]
+            out, going, _, gone_q = ppm.descend(own, gone[i : i + FLUSH])
+            out[going] -= np.log10(256 - gone_q[going])
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(out + asked["value"][i : i + FLUSH])], ["key", "value"])
+
+    nothing = [F.lit(0).cast("long").alias(w) for w in words]
+    if deep is None:
+        table_near, left = table.select("key", "n"), asked.select("key", F.lit(0.0).alias("value"), *nothing)
+    else:
+        both = table.select("key", "n").unionByName(asked.select("key", F.lit(0).cast("long").alias("n")))
+        went = written(both.repartition(F.xxhash64(last(deep))).mapInArrow(first, "key long, value double, done boolean, " + ", ".join(f"{w} long" for w in words)), "deep-values")
+        table_near, left = shorter(deep), went.where("not done").select("key", "value", *words)
+    shares = max(1, min(MOST_SHARES, -(-left.count() // SHARE)))
+    share = F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))
+    rows = table_near.select("key", "n", F.lit(0.0).alias("value"), *nothing, share.alias("share"))
+    rows = rows.unionByName(left.select("key", F.lit(0).cast("long").alias("n"), "value", *words, F.pmod(F.xxhash64("key"), F.lit(shares)).cast("int").alias("share")))
+    rest = rows.repartition(last(near), "share").drop("share").mapInArrow(second, "key long, value double")
+    return rest if deep is None else went.where("done").select("key", "value").union(rest)
 
 
 def unvalued(key: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -282,7 +350,7 @@ def unvalued(key: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 
 def scored(docs: DataFrame, train: DataFrame, order: int = ORDER, runs: int = RUNS, head: int = HEAD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs."""
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), a row for each row of docs."""
     spark = docs.sparkSession
     context = spark.sparkContext
     train = pick(train, text).toDF("text").select(F.coalesce("text", F.lit("")).alias("text"))
@@ -294,7 +362,7 @@ def scored(docs: DataFrame, train: DataFrame, order: int = ORDER, runs: int = RU
     total, distinct = (sums.n or 0) + ends, sums.v + (ends > 0)
     floor = total + 0.1 * (distinct + 1)
     log = lambda c: math.log10((c + 0.1) / floor)
-    top = most_frequent(words.where(F.length("word") <= 64), "n", head).toArrow()
+    top = common_words(words, "word", "n", head).toArrow()
     shared = context.broadcast(dict(zip(top.column("word").to_pylist(), map(log, top.column("n").to_pylist()), strict=True)))
     end, end_known = log(ends), int(ends > 0)
 
@@ -314,12 +382,12 @@ def scored(docs: DataFrame, train: DataFrame, order: int = ORDER, runs: int = RU
             value = ppm.values(key)
             score = np.add.reduceat(np.nan_to_num(value, nan=0.0), np.cumsum(sizes) - sizes)
             columns = [pa.array([len(x) + 1 for x in split], pa.int64()), pa.array(here, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rest, kind), unvalued(key, value, sizes)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["row", "doc_id", "n_tokens", "known", "base", "score", "rest", "runs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), *columns], ["row", "doc_id", "n_bytes", "n_tokens", "known", "base", "score", "rest", "runs"])
 
     rows = pick(docs, doc_id, text).toDF("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    result = f"row long, doc_id {kind}, n_tokens long, known long, base double, score double, rest array<struct<word: binary, n: long>>, runs array<struct<key: long, n: long>>"
+    result = f"row long, doc_id {kind}, n_bytes long, n_tokens long, known long, base double, score double, rest array<struct<word: binary, n: long>>, runs array<struct<key: long, n: long>>"
     reduced = written(rows.mapInArrow(per_document, result), "word-frequencies")
     late = reduced.select("row", F.explode("rest").alias("r")).select("row", "r.word", F.col("r.n").alias("times")).join(words, "word", "left")
     c = F.coalesce(F.col("n"), F.lit(0))
@@ -329,12 +397,14 @@ def scored(docs: DataFrame, train: DataFrame, order: int = ORDER, runs: int = RU
     late = late.unionByName(valued.select("row", F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known"), (F.col("times") * F.col("value")).alias("score")))
     parts = late.groupBy("row").agg(F.sum("base").alias("late_base"), F.sum("known").alias("late_known"), F.sum("score").alias("late_score"))
     out = reduced.drop("rest", "runs").join(parts, "row", "left")
+    score = F.col("score") + F.coalesce("late_score", F.lit(0.0))
     return out.select(
         "doc_id", "n_tokens",
         (F.col("known") + F.coalesce("late_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("late_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("late_score", F.lit(0.0))).alias("score"),
+        score.alias("score"),
+        (-score * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 

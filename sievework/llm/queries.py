@@ -49,7 +49,7 @@ def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir)
     out = scored(docs, docs.where(~held_out(docs)))
-    return out.select("doc_id", held_out(out).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", held_out(out).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
