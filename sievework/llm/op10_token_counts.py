@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import most_frequent, pick, small_batches, written
+from sievework.llm.common import common_words, pick, small_batches, written
 
 MARK = "▁"
 HEAD = 300_000
@@ -87,8 +87,8 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, head: int = HEA
     """(doc_id, n_bytes, n_tokens, over_limit), a row for each row of docs."""
     spark = docs.sparkSession
     table = written(pretoken_table(docs, model, text), "pretokens")
-    # `head` strings of 64 characters at most
-    top = {r.pretoken: r.pieces for r in most_frequent(table.where(F.length("pretoken") <= 64), "freq", head).select("pretoken", "pieces").collect()}
+    # `head` short strings at most, and the few longer ones that are hot
+    top = {r.pretoken: r.pieces for r in common_words(table, "pretoken", "freq", head).select("pretoken", "pieces").collect()}
     shared = spark.sparkContext.broadcast(top)
 
     def per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
