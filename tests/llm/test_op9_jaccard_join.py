@@ -60,8 +60,9 @@ def components(spark, texts, block=join.BLOCK, monkeypatch=None):
     return [got[i][0] for i in range(len(texts))], [got[i][1] for i in range(len(texts))]
 
 
-@pytest.mark.parametrize(("seed", "block", "most"), [(1, 8, 9), (2, 1, 9), (3, 2, 5), (4, 1, 14)])
-def test_components_equal_brute_force(spark, seed, block, most, monkeypatch):
+@pytest.mark.parametrize(("seed", "block", "most", "cell"), [(1, 8, 9, 512), (2, 1, 9, 512), (3, 2, 5, 3), (4, 1, 14, 5), (5, 1, 11, 1)])
+def test_components_equal_brute_force(spark, seed, block, most, cell, monkeypatch):
+    monkeypatch.setattr(join, "CELL_ROWS", cell)
     texts = clusters(seed, most=most)
     assert components(spark, texts, block, monkeypatch) == brute(texts)
 
@@ -91,6 +92,40 @@ def test_empty_table_null_and_repeated_ids_and_clashing_columns(spark):
     assert sorted(r.item for r in left.collect()) in ([2, 4, 5, 6], [3, 4, 5, 6])
 
 
+def test_rows_are_known_by_what_is_in_them(spark):
+    """An input behind a shuffle that is computed anew, with its partitions coalesced, in each scan."""
+    texts = clusters(7, copies=12)
+    rows = [(i % 60, x, i) for i, x in enumerate(texts + texts[:20])]
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string, more int").repartition(40).dropDuplicates(["text", "more"])
+        got = [(r.doc_id, r.text, r.more) for r in join.one_of_each(docs).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    parts = brute([x for _, x, _ in rows])[1]
+    least = {}
+    for (i, x, _), part in zip(rows, parts, strict=True):
+        least[part] = min(least.get(part, 99), i)
+    assert len(got) == len(least) and set(got) <= set(rows)
+    place = {m: part for (_, _, m), part in zip(rows, parts, strict=True)}
+    assert all(least[place[m]] == i for i, _, m in got) and len({place[m] for _, _, m in got}) == len(got)
+
+
+def test_a_passage_that_unlinked_documents_share(spark):
+    """A block of texts that share most words but stay below the threshold, beside copies of some of them."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join([f"u{i}-{k}" for k in range(rng.randrange(3, 30))] + passage) for i in range(60)]
+    texts += [texts[i] + " more" for i in range(0, 60, 7)] + [texts[3]] * 30
+    assert components(spark, texts) == brute(texts)
+
+
+def test_repeated_rows_leave_one(spark):
+    rows = [(5, "a b c d e f g")] * 40 + [(5, "other words are here now")] * 3 + [(6, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, join.one_of_each(docs).collect()), key=str) == sorted([(5, "a b c d e f g"), (5, "other words are here now"), (6, None), (6, None)], key=str)
+
+
 def test_prefixes_of_similar_sets_meet():
     rng = np.random.default_rng(0)
     frequent = np.sort(rng.integers(0, 400, 60, dtype=np.uint64))
@@ -99,4 +134,4 @@ def test_prefixes_of_similar_sets_meet():
         a = np.unique(rng.integers(0, 400, rng.integers(1, 80), dtype=np.uint64))
         b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.1], rng.integers(0, 400, 3, dtype=np.uint64)]))
         if 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b)):
-            assert len(np.intersect1d(join.prefix_of(a, frequent, times, 75), join.prefix_of(b, frequent, times, 75)))
+            assert len(np.intersect1d(join.prefix_of(a, frequent, times, 75)[0], join.prefix_of(b, frequent, times, 75)[0]))
