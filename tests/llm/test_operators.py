@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sievework.llm import bpe, op1_sharding, op2_packing, op3_langid, op4_bpe, op5_ppm, op6_simhash, op7_quality_classifier, op8_quality_rules, op10_token_counts
@@ -69,6 +70,35 @@ def test_placement_follows_the_dot_product():
     assert op1_sharding.place(np.array([[0.5, 0.5, 0.5], [0.3, 0.3, 0.3], [0.2, 0.2, 0.2]]), 2).tolist() == [0, 1, 1]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_placement_equals_a_plain_one(seed):
+    """Falling by the largest share, then by bytes; each where the weighted product with what is left is highest."""
+    rng = random.Random(seed)
+    shards, n = rng.randrange(2, 6), 40
+    items = [[rng.choice([1, 2, 5, 40]) * rng.random() for _ in range(3)] for _ in range(n)]
+    total = [sum(x[k] for x in items) for k in range(3)]
+    items = [[x[k] / total[k] for k in range(3)] for x in items]
+    left, want = [[1 / shards] * 3 for _ in range(shards)], [0] * n
+    for i in sorted(range(n), key=lambda i: (-max(items[i]), -items[i][0], i)):
+        fits = [s for s in range(shards) if all(left[s][k] >= items[i][k] - 1e-12 for k in range(3))]
+        want[i] = max(fits or range(shards), key=lambda s: (sum(left[s][k] * op1_sharding.WEIGHTS[k] * items[i][k] for k in range(3)), -s))
+        left[want[i]] = [left[want[i]][k] - items[i][k] for k in range(3)]
+    assert op1_sharding.place(np.array(items), shards).tolist() == want
+
+
+def test_sharding_of_few_rows_equals_a_plain_packing(spark):
+    """Groups that are each more than a share of a shard are placed one by one."""
+    docs = spark.createDataFrame([(i, "x" * (50 + 37 * i % 400) + " y" * (i % 9)) for i in range(30)], "doc_id long, text string")
+    got = {r.doc_id: (r.size, r.tokens, r.shard) for r in op1_sharding.sharded(docs, 3).collect()}
+    rows = [got[i] for i in range(30)]
+    vectors = np.array([[s, t, 1] for s, t, _ in rows], float)
+    vectors /= vectors.sum(0)
+    loads = np.array([vectors[[k == x[2] for x in rows]].sum(0) for k in range(3)])
+    want = op1_sharding.place(vectors, 3)
+    plain = np.array([vectors[want == k].sum(0) for k in range(3)])
+    assert np.abs(np.sort(loads[:, 0]) - np.sort(plain[:, 0])).max() < 0.02
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_fullest_sum_is_the_best_and_its_counts_fit(seed):
     rng = random.Random(seed)
@@ -199,21 +229,17 @@ def test_language_model_scores(spark, table, empty, head):
     words = lambda x: re.findall(rb"[^\x20\x09-\x0D]+", (x or "").encode().lower())
     counts = Counter(w for i, x in enumerate(texts()) if i % 3 for w in [*words(x), None])
     total, floor = sum(counts.values()), sum(counts.values()) + 0.1 * (len(counts) + 1)
-    rows = by_text(got, table, "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    for x, n, known, tokens, base, score in rows:
+    rows = by_text(got, table, "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+    for x, n, known, tokens, base, score, bits in rows:
         own = [*words(x), None]
         assert (n, known, tokens) == (len(own), sum(counts[w] > 0 for w in own), total)
         assert math.isclose(base, sum(math.log10((counts[w] + 0.1) / floor) for w in own), rel_tol=1e-9) and score < 0
+        assert math.isclose(bits, -score / math.log10(2) / (sum(map(len, own[:-1])) + max(1, len(own) - 1)), rel_tol=1e-9)
     assert got.count() == table.count() and op5_ppm.scored(empty, empty).count() == 0
     untrained = op5_ppm.scored(table, empty).where("doc_id = 21").first()
     assert untrained.train_tokens == 0 and math.isfinite(untrained.score)
 
 
-def test_a_smaller_trie_lowers_the_order(spark, table):
-    assert op5_ppm.trained(table.select("text"), order=4, most=10_000_000).order == 4
-    assert op5_ppm.trained(table.select("text"), order=4, most=300).order < 4
-
-
 @pytest.mark.parametrize("order", [0, 1, 4])
 @pytest.mark.parametrize("runs", [0, 40])
 def test_scores_from_the_dealt_trie_equal_the_whole_one(spark, table, order, runs):
@@ -224,6 +250,14 @@ def test_scores_from_the_dealt_trie_equal_the_whole_one(spark, table, order, run
     assert got and np.allclose([s for _, s in got], model.scores([op5_ppm.coded(op5_ppm.low_words(x)) for x, _ in got]), rtol=1e-9)
 
 
+def test_hot_long_words_are_in_the_head(spark):
+    from sievework.llm.common import common_words
+
+    rows = [(f"w{i}", 1 + i) for i in range(50)] + [("=" * 80, 3000), ("x" * 70, 2), ("y" * 70_000, 9000)]
+    got = {r.w for r in common_words(spark.createDataFrame(rows, "w string, n long"), "w", "n", 5).collect()}
+    assert "=" * 80 in got and not {x for x in got if x[0] in "xy"} and len(got) <= 6
+
+
 def test_a_rich_corpus_keeps_the_order(spark):
     """More than three million different runs: longer contexts still count."""
     rng = np.random.default_rng(3)
@@ -248,6 +282,50 @@ def test_language_prediction(spark, table, empty, sf):
     assert {r.lang_pred for r in op3_langid.predicted(table, nothing).collect()} == {"und"} and op3_langid.predicted(empty, model).count() == 0
 
 
+def test_language_training_samples_texts_and_counts_all(spark, monkeypatch):
+    rows = [(None, "der hund und die katze", "de")] * 300 + [(i, f"the dog and the cat number {i}", "en") for i in range(200)]
+    rows += [(7, f"le chien et le chat {i}", "fr") for i in range(5)] + [(8, "12 34 -- 56", "xx")] * 50 + [(9, None, "de"), (9, "x", None), (9, "der hund und die katze", "nl")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    seen = {}
+    real = op3_langid.fit
+    monkeypatch.setattr(op3_langid, "fit", lambda rows, idf: seen.update(rows=rows, idf=idf) or real(rows, idf))
+    model = op3_langid.train(docs, sample=60)
+    times = Counter(y for y, _, _ in seen["rows"])
+    assert times["de"] == times["nl"] == 1 and times["fr"] == 5 and 20 <= times["en"] <= 55 and "xx" not in times
+    usable = [x for _, x, y in rows if x and y and any(c.isalpha() for c in x)]
+    df = np.zeros(op3_langid.COLUMNS)
+    for x in usable:
+        df[op3_langid.gram_counts(x)[0]] += 1
+    assert np.allclose(seen["idf"], np.log((1 + len(usable)) / (1 + df)) + 1)
+    assert model.predict("the dog and the cat")[0] == "en" and model.classes == ["de", "en", "fr", "nl"]
+    assert op3_langid.share_out([1, 100, 3], 10) == [1, 6, 3] and op3_langid.share_out([], 5) == []
+    # without any id the model is the same
+    again = op3_langid.train(docs.withColumn("doc_id", F.lit(None).cast("long")), sample=60)
+    assert np.array_equal(again.weights, model.weights) and again.temperature == model.temperature
+
+
+def softmax_loss(w, rows):
+    return sum(-np.log(op3_langid.softmax(x @ w[at])[y]) for y, at, x in rows)
+
+
+def test_language_gradient_is_that_of_the_softmax_loss():
+    """One step of the learner against the numerical slope."""
+    rng = np.random.default_rng(1)
+    ftrl = op3_langid.Ftrl(6, 3, l1=0.0, l2=0.0)
+    ftrl.z[:] = rng.normal(0, 1, (6, 3))
+    ftrl.n[:] = 1
+    at, x, w = np.array([0, 2, 5]), rng.random(3), ftrl.weights()
+    z, n = ftrl.z.copy(), ftrl.n.copy()
+    ftrl.learn(at, x, 1)
+    g = np.sqrt(ftrl.n - n)
+    for i, k in ((0, 0), (2, 1), (5, 2), (1, 1)):
+        step = np.zeros_like(w)
+        step[i, k] = 1e-6
+        slope = (softmax_loss(w + step, [(1, at, x)]) - softmax_loss(w - step, [(1, at, x)])) / 2e-6
+        assert abs(abs(slope) - g[i, k]) < 1e-5
+        assert np.isclose(ftrl.z[i, k] - z[i, k], slope - (np.sqrt(ftrl.n[i, k]) - np.sqrt(n[i, k])) / ftrl.alpha * w[i, k], atol=1e-5)
+
+
 def test_simhash_edits_and_neighbours(spark, table, empty):
     ordered = [(i, x) for i, x in enumerate(texts())]
     docs = spark.createDataFrame(ordered, "doc_id long, text string").repartition(5)
@@ -261,19 +339,59 @@ def test_simhash_edits_and_neighbours(spark, table, empty):
         assert got[i].near_next == 1 - same.bit_count() / 128
     assert got[5].fingerprint == got[6].fingerprint
     assert op6_simhash.with_edits(table).count() == table.count() and op6_simhash.with_edits(empty).count() == 0
-    one = op6_simhash.with_edits(docs.where("doc_id = 7")).first()
+    one = op6_simhash.with_edits(docs.where("doc_id = 7"), None).first()
     assert one.near_next == 1.0 and one.n_chars == 20_000
 
 
+def test_votes_equal_a_plain_count():
+    """Each bit on its own: the weights of the terms that have it against those that don't."""
+    from sievework.llm.common import PLACES
+
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    def plain(text):
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+        size = min(3, len(words))
+        terms = Counter(tuple(words[i : i + size]) for i in range(len(words) - size + 1)) if words else {}
+        up = [0] * 128
+        for term, n in terms.items():
+            own = mix((size + sum(xxhash.xxh3_64_intdigest(w) * int(PLACES[k]) for k, w in enumerate(term))) & mask)
+            both = own.to_bytes(8, "little") + mix(own ^ 0xA5A5A5A5A5A5A5A5).to_bytes(8, "little")
+            for bit in range(128):
+                up[bit] += n if both[bit // 8] >> 7 - bit % 8 & 1 else -n
+        return sum((v > 0) << 127 - bit for bit, v in enumerate(up)).to_bytes(16)
+
+    simhash = op6_simhash.SimHash()
+    for x in texts():
+        assert simhash.of(x) == plain(x)
+
+
+def test_numbers_of_near_documents(spark):
+    """Counted against all pairs, copies among them; with a low bound every key is cut again."""
+    docs = spark.createDataFrame(list(enumerate([*texts(), "same text here", "same text here too", None])), "doc_id long, text string").repartition(5)
+    for radius, most in ((3, 64), (6, 1)):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(op6_simhash.near_fingerprints, "__defaults__", (3, most))
+            rows = op6_simhash.with_edits(docs, radius).collect()
+        marks = [int(r.fingerprint, 16) for r in rows]
+        assert [r.n_near for r in rows] == [sum((m ^ n).bit_count() <= radius for n in marks) - 1 for m in marks] and any(r.n_near for r in rows)
+
+
+@pytest.mark.parametrize("most", [64, 2])
 @pytest.mark.parametrize("radius", [1, 3, 6])
-def test_all_fingerprints_within_the_radius(spark, radius):
+def test_all_fingerprints_within_the_radius(spark, radius, most):
     rng = random.Random(radius)
     base = [rng.getrandbits(128) for _ in range(8)]
     marks = [rng.choice(base) ^ sum(1 << b for b in rng.sample(range(128), rng.randrange(radius + 3))) for _ in range(150)] + base + base
     df = spark.createDataFrame([(f"{m:032x}",) for m in marks] + [(None,)], "fingerprint string")
     distinct = sorted({f"{m:032x}" for m in marks})
     want = {(a, b, n) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if (n := (int(a, 16) ^ int(b, 16)).bit_count()) <= radius}
-    assert {tuple(r) for r in op6_simhash.near_fingerprints(df, radius).collect()} == want and want
+    assert {tuple(r) for r in op6_simhash.near_fingerprints(df, radius, most).collect()} == want and want
 
 
 def test_quality_classifier(spark, table, empty, sf):
@@ -300,6 +418,31 @@ def test_quality_classifier_learns_from_20_000_rows(spark, monkeypatch):
     assert len(got) == 20_000 and set(got) == {0, 1, 2}
 
 
+def test_ordinal_slopes_and_steady_thresholds():
+    """One row, one epoch: weights move as the numerical slope of the loss says; thresholds keep still where grades are apart."""
+    at, x = np.array([3, 9]), np.array([0.5, 1.0], np.float32)
+
+    def loss(s, t, grade):
+        tail = np.concatenate([[1.0], op7_quality_classifier.sigmoid(s - t), [0.0]])
+        return -np.log(tail[grade] - tail[grade + 1])
+
+    t0 = np.linspace(-0.5, 0.5, 3)
+    for grade in range(4):
+        model = op7_quality_classifier.fit([(grade, at, x)], 4, epochs=1, l1=0.0, l2=0.0, alpha=1.0)
+        slope = (loss(1e-6, t0, grade) - loss(-1e-6, t0, grade)) / 2e-6
+        g = x * slope
+        assert np.allclose(model.weights[at], -g / (1 + np.abs(g)), atol=1e-4)
+        moved = model.thresholds - t0
+        for k in range(3):
+            up = t0 + 1e-6 * (np.arange(3) == k)
+            down = t0 - 1e-6 * (np.arange(3) == k)
+            d = (loss(0.0, up, grade) - loss(0.0, down, grade)) / 2e-6
+            assert np.isclose(moved[k], -0.1 * d / np.sqrt(1 + d * d), atol=1e-4)
+    rows = [(g, np.array([g]), np.ones(1, np.float32)) for g in (0, 3)] * 200
+    ends = [op7_quality_classifier.fit(rows, 4, epochs=e).thresholds for e in (20, 40)]
+    assert all((np.diff(t) >= op7_quality_classifier.GAP - 1e-9).all() for t in ends) and np.abs(ends[1] - ends[0]).max() < 0.5
+
+
 def test_thresholds_are_ordered_and_grades_separate():
     rng = np.random.default_rng(0)
     rows = [(g, np.array([g, 10 + int(rng.integers(50))]), np.ones(2, np.float32)) for g in rng.integers(0, 4, 800)]

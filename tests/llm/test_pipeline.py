@@ -44,3 +44,24 @@ def test_empty_tables(spark, tmp_path, sf):
     spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{sf}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_on_odd_rows(spark, sf):
+    """Nulls in every column, empty and long texts, ties, repeated rows, extra columns with names used inside."""
+    good = "The committee met on Monday, and its members spoke about the plan for the new bridge.\nThey agreed that work should begin in spring, once the river is low.\n"
+    long = " ".join(f"word{i}, and" for i in range(30_000))
+    texts = [None, "", " \n", good, good, good, good + "One more sentence ends it.", long, "x"]
+    rows = [(None if i % 4 == 1 else i, x, None if i % 3 else "en", None, None if i == 4 else 7, i, "m", None) for i, x in enumerate(texts)]
+    rows += [rows[3]] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row long, mark string, whole string").repartition(3)
+    rules, classifier, near, packing = (f for _, f in corpus_pipeline.STAGES)
+    ruled = rules(spark, docs, sf)
+    assert ruled.columns == docs.columns and sorted(len(r.text) for r in ruled.collect()) == sorted([len(good)] * 6 + [len(texts[6]), len(long)])
+    graded = classifier(spark, docs, sf)
+    assert graded.columns == docs.columns and graded.where("text is null").count() == 0
+    left = near(spark, docs, sf).collect()
+    assert len(left) == 6 and sorted(len(r.text or "") for r in left) == [0, 0, 1, 2, len(good), len(long)]
+    assert [r.doc_id for r in left if r.text == good] == [3]
+    pieces = packing(spark, docs, sf).collect()
+    assert len({(p.sequence_id, p.offset) for p in pieces}) == len(pieces) and sum(p.start == 0 for p in pieces) == len(rows)
+    assert all(f(spark, docs.limit(0), sf).count() == 0 for _, f in corpus_pipeline.STAGES)
