@@ -48,6 +48,17 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2 <
             start = stop
 
 
+def written_in_batches(df: DataFrame, name: str, rows: int = 1000) -> DataFrame:
+    """written() of a plan with Python code that takes wide rows: fewer of them are in an Arrow batch, on either side."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(rows))
+    try:
+        return written(df, name)
+    finally:
+        conf.set(key, before)
+
+
 @cache
 def _libc():
     try:

@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.llm import bpe as bpes
-from sievework.llm.common import pick, small_batches, written
+from sievework.llm.common import give_back, pick, small_batches, written_in_batches
 
-UNIT_ROWS = 100_000
+UNIT_ROWS = 1000
 
 
 def fullest(counts: dict[int, int], capacity: int) -> tuple[int, dict[int, int]]:
@@ -82,7 +82,7 @@ def packed(docs: DataFrame, vocabulary: str, capacity: int = 4096, end: int = 2,
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, full = bpes.shared(vocabulary), 0
-        for batch in small_batches(batches, "text", 6 << 20):
+        for batch in small_batches(batches, "text"):
             size, crc, before = [], [], []
             for ids in bpe.encode_batch(batch.column(2)):
                 ids += tail
@@ -91,18 +91,19 @@ def packed(docs: DataFrame, vocabulary: str, capacity: int = 4096, end: int = 2,
                 before.append(full)
                 full += size[-1] // capacity
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(crc, pa.list_(pa.int64())), pa.array(before, pa.int64())], ["row", "doc_id", "doc_tokens", "crc", "full_before"])
+        give_back()
 
     rows = pick(docs, doc_id, text).toDF("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    cuts = written(rows.mapInArrow(cut, f"row long, doc_id {kind}, doc_tokens long, crc array<long>, full_before long"), "cuts")
+    cuts = written_in_batches(rows.mapInArrow(cut, f"row long, doc_id {kind}, doc_tokens long, crc array<long>, full_before long"), "cuts")
     cuts = cuts.withColumn("rest", F.col("doc_tokens") % capacity).withColumn("part", F.shiftright("row", 33))
     histogram = {r.rest: r["count"] for r in cuts.groupBy("rest").count().collect()}  # `capacity` rows at most
     windows, sequences = plan({x: n for x, n in histogram.items() if x}, capacity)
     at: dict[int, list] = {}
     for length, rank, n, sequence, offsets in windows:
         at.setdefault(length, []).append((rank, n, sequence, offsets))
-    shared = spark.sparkContext.broadcast({x: (np.array([w[0] for w in own]), own) for x, own in at.items()})
+    shared = spark.sparkContext.broadcast({x: (np.array([w[0] for w in own]), own) for x, own in at.items()})  # a few windows for each length
 
     units = spark.createDataFrame([(x, -(-n // UNIT_ROWS)) for x, n in histogram.items()], "rest long, units long")
     cuts = cuts.join(F.broadcast(units), "rest").withColumn("unit", F.pmod(F.xxhash64("row"), F.col("units"))).drop("units")

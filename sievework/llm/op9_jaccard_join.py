@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.common import Remembered, discard, give_back, low_words, most_frequent, pick, shingle_hashes, small_batches, written
+from sievework.llm.common import Remembered, discard, give_back, low_words, most_frequent, pick, shingle_hashes, small_batches, written, written_in_batches
 from sievework.operators.graph import connected_components
 
 SHINGLE, PERCENT = 5, 75
@@ -165,7 +165,7 @@ def set_table(rows: DataFrame, size: int) -> DataFrame:
         del held, seen, shingles
         give_back()
 
-    return written(rows.mapInArrow(measure, f"doc_id {kind}, mark long, text_mark long, n long, item binary, shingle long, times long"), "sets")
+    return written_in_batches(rows.mapInArrow(measure, f"doc_id {kind}, mark long, text_mark long, n long, item binary, shingle long, times long"), "sets")
 
 
 def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +203,7 @@ def posted(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray], size: int,
         del shingles, seen, groups
         give_back()
 
-    posts = written(rows.select("text", "mark").mapInArrow(post, "item binary, n int, p int, g long, mark long, rare int, prefix array<long>"), "prefixes")
+    posts = written_in_batches(rows.select("text", "mark").mapInArrow(post, "item binary, n int, p int, g long, mark long, rare int, prefix array<long>"), "prefixes")
     shared.destroy()
     return posts
 
@@ -255,9 +255,11 @@ def whole_sets(items: DataFrame, members: DataFrame, rows: DataFrame, size: int)
             items = [xxhash.xxh3_128_digest(x) for x in found]
             new = [i for i, item in enumerate(items) if item not in seen and not seen.add(item)]
             yield pa.RecordBatch.from_arrays([pa.array([items[i] for i in new], pa.binary()), pa.array([found[i] for i in new], pa.binary())], ["item", "shingles"])
+        del shingles, seen
+        give_back()
 
     needed = written(members.join(items, "item", "left_semi").select("mark"), "needed")
-    full = written(only_rows(rows.select("text", "mark"), needed, "left_semi").select("text").mapInArrow(read, "item binary, shingles binary"), "whole-sets")
+    full = written_in_batches(only_rows(rows.select("text", "mark"), needed, "left_semi").select("text").mapInArrow(read, "item binary, shingles binary"), "whole-sets")
     if full.count() > needed.count():  # rows that repeat id and text, in several tasks
         repeated, full = full, written(full.dropDuplicates(["item"]), "whole-sets")
         discard(repeated)
@@ -279,10 +281,11 @@ def linked(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
                 sizes.append((int((y[at] == x).sum()), len(x), len(y)))
             shared, m, n = np.array(sizes, np.int64).reshape(-1, 3).T.copy()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared), pa.array(m + n - shared)], ["a", "b", "shared", "united"])
+        give_back()
 
     both = pairs.join(full.select(F.col("item").alias("a"), F.col("shingles").alias("set_a")), "a").join(full.select(F.col("item").alias("b"), F.col("shingles").alias("set_b")), "b")
     sizes = both.select("a", "b", "set_a", "set_b").mapInArrow(verify, "a binary, b binary, shared long, united long")
-    return written(sizes.where(F.col("shared") * 100 >= F.col("united") * percent).select("a", "b"), "links")
+    return written_in_batches(sizes.where(F.col("shared") * 100 >= F.col("united") * percent).select("a", "b"), "links")
 
 
 def cell_links(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
