@@ -25,7 +25,7 @@ ODD = "[\x1c-\x1f]"
 #: Arrow's splitter decodes one character behind a text that ends in white space, so the last text needs one after it.
 GUARD = pa.array(["." * 64])
 SPLIT = regex.compile(f"[{SPACE}]+")
-CACHE = 400_000
+CACHE = 550_000
 MARKS = tuple(",.;:!?")
 NONE = np.iinfo(np.int32).max
 
