@@ -25,7 +25,7 @@ ODD = "[\x1c-\x1f]"
 #: Arrow's splitter decodes one character behind a text that ends in white space, so the last text needs one after it.
 GUARD = pa.array(["." * 64])
 SPLIT = regex.compile(f"[{SPACE}]+")
-CACHE = 550_000
+CACHE = 600_000
 MARKS = tuple(",.;:!?")
 NONE = np.iinfo(np.int32).max
 
@@ -68,7 +68,6 @@ class WordBpe:
         keys = (a << 20) | b
         order = np.argsort(keys)
         self.keys, self.rank_of_key, self.made = keys[order], order.astype(np.int32), made
-        self.parts: dict[str, bytes] = {}
         self.cache: dict[str, bytes] = {}
 
     def pretokens(self, word: str) -> list[str]:
@@ -149,15 +148,17 @@ class WordBpe:
         mixed = {w: [p if p in self.special else self.pretokens(p) for p in self.special_at.split(w) if p] for w in special}
         for own in mixed.values():
             wanted.update(*(p for p in own if not isinstance(p, str)))
-        new = list(wanted.difference(self.parts))
-        if len(self.parts) + len(new) > CACHE:
-            self.parts = {p: self.parts[p] for p in wanted.intersection(self.parts)}
-        parts, cache = self.parts, self.cache
-        if new:
-            ids, start = self.merge([p.encode("utf-8", "replace") for p in new])
+        # a word of letters alone in its normal form is its one pre-token, so pre-tokens need no cache of their own
+        cache = self.cache
+        same = {p for p in wanted if p.isalpha() and p.lower() == p and unicodedata.is_normalized("NFC", p)}
+        parts = {p: cache[p] for p in same if p in cache}
+        unknown = list(wanted.difference(parts))
+        if unknown:
+            ids, start = self.merge([p.encode("utf-8", "replace") for p in unknown])
             raw, at = ids.tobytes(), (start * 4).tolist()
-            parts.update(zip(new, map(raw.__getitem__, map(slice, at, at[1:])), strict=True))
+            parts.update(zip(unknown, map(raw.__getitem__, map(slice, at, at[1:])), strict=True))
         get = parts.__getitem__
+        cache.update(zip(same, map(get, same), strict=True))
         for w, own in zip(plain, plan, strict=True):
             cache[w] = get(own) if type(own) is str else b"".join(map(get, own))
         for w, own in mixed.items():

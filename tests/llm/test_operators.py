@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -157,6 +158,20 @@ def test_bpe_cache_overflow_changes_nothing(monkeypatch):
         assert np.frombuffer(coder.encode_batch([x])[0], "<u4").tolist() == tokenizer.encode(x or "", add_special_tokens=False).ids
 
 
+def test_bpe_holds_each_word_once():
+    """Pre-tokens have no cache beside that of the words; a word's ids are the same whatever was met before it."""
+    coder, cold = bpe.WordBpe(vocabulary("word_bpe_49k.json")), bpe.WordBpe(vocabulary("word_bpe_49k.json"))
+    coder.encode_batch(["river, river bridge; bridge Bridge"])
+    held = [w for x in vars(coder).values() if isinstance(x, dict) and x is not coder.special for w in x]
+    assert sorted(held) == ["", "Bridge", "bridge", "bridge;", "river", "river,"]
+    odd = [c for c in map(chr, range(0x110000)) if c.isalpha() and (c.lower() != c or not unicodedata.is_normalized("NFC", c))]
+    met = [x for c in odd for x in (f"a{c},", f"{c}.", c.lower(), c, f"a{c}".lower(), f"a{c}")]
+    coder.encode_batch(met[::-1])
+    for word in random.Random(3).sample(met, 2000):
+        cold.cache = {}
+        assert coder.encode_batch([word]) == cold.encode_batch([word])
+
+
 def test_bpe_of_batches_that_end_in_white_space():
     """Value buffers of every size, multiples of 64 bytes among them, whose last text ends in white space."""
     coder, tokenizer, rng = bpe.WordBpe(vocabulary("word_bpe_49k.json")), word_tokenizer(), random.Random(9)
