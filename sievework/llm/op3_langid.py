@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import crc_of_id, discard, give_back, mixed, pick, small_batches, views, written
+from sievework.llm.common import crc_of_id, give_back, mixed, pick, small_batches, views
 
 COLUMNS, ORDERS = 1 << 17, 4
 UNKNOWN = "und"
@@ -161,12 +161,11 @@ def train(docs: DataFrame, sample: int = 4000, doc_id: str = "doc_id", text: str
     rows = pick(docs, text, lang).toDF("text", "lang").where("text is not null and lang is not null")
     mark = F.xxhash64(F.lit(11), "text").alias("mark")
     usable = rows.where(F.col("text").rlike(r"\p{L}"))
-    marks = written(usable.select("lang", mark).distinct(), "training-texts")
-    counts = marks.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()  # a language takes one place at least
+    counts = usable.select("lang", mark).distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()  # a language takes one place at least
     quota = share_out([r["count"] for r in counts], sample)
     # marks are spread evenly, so a share of their range has about that share of a language's texts
     limits = [(r.lang, q / r["count"] * 2.0**64 - 2.0**63) for r, q in zip(counts, quota, strict=True)]
-    chosen = marks.join(F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, most double")), "lang").where("mark <= most")
+    shares = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, most double"))  # `sample` rows at most
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -179,13 +178,12 @@ def train(docs: DataFrame, sample: int = 4000, doc_id: str = "doc_id", text: str
             columns = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["lang", "mark", "at", "n"])
 
-    # about `sample` rows are broadcast and come back, give or take the spread of hashes
-    found = usable.select("text", "lang", mark).join(F.broadcast(chosen.select("lang", "mark")), ["lang", "mark"], "left_semi").select("text", "lang", "mark")
+    # about `sample` rows come back, give or take the spread of hashes
+    found = usable.select("text", "lang", mark).join(shares, "lang").where("mark <= most").select("text", "lang", "mark")
     got = found.mapInArrow(grams, "lang string, mark long, at binary, n binary").dropDuplicates(["lang", "mark"]).toArrow()
     order = sorted(range(got.num_rows), key=list(zip(got.column("mark").to_pylist(), got.column("lang").to_pylist(), strict=True)).__getitem__)[:sample]
     labels, at, n = got.column("lang").to_pylist(), views(got.column("at"), "<i4"), views(got.column("n"), "<i4")
     model = fit([(labels[i], at[i], n[i]) for i in order], inverse_frequency(*document_frequencies(rows)))
-    discard(marks)
     del got, at, n
     give_back()
     return model

@@ -319,6 +319,14 @@ def test_language_training_samples_texts_and_counts_all(spark, monkeypatch):
     assert np.array_equal(again.weights, model.weights) and again.temperature == model.temperature
 
 
+def test_language_training_writes_no_table(spark, monkeypatch):
+    """A scratch table of one file for each partition only told which texts are in a share of the hashes."""
+    written = []
+    monkeypatch.setattr(type(spark.range(0).write), "parquet", lambda self, path, *a, **b: written.append(path))
+    docs = spark.createDataFrame([(i, f"the dog and the cat {'and' * i}", "en") for i in range(40)] + [(i, f"der hund {'und' * i}", "de") for i in range(40)], "doc_id long, text string, lang string")
+    assert op3_langid.train(docs, sample=20).classes == ["de", "en"] and not written
+
+
 def softmax_loss(w, rows):
     return sum(-np.log(op3_langid.softmax(x @ w[at])[y]) for y, at, x in rows)
 
