@@ -8,15 +8,17 @@ single bad word tells, and so do the first five letters of longer ones; word sha
 and repeated neighbours and 5-word runs count by their share of the text. Weights are trained by
 follow-the-regularised-leader with an elastic net, so words seen a few times keep no weight.
 
-The classifier is fitted on `sample` labelled rows (a fixed number, chosen by a hash of the id); scoring reads
-every whole text in one scan without a shuffle. Null texts have null grades and are not kept; empty texts are
+The classifier is fitted on `sample` labelled rows (a fixed number, chosen by a hash of the id), whose features are mapped
+from the driver's disk; scoring reads every whole text in one scan without a shuffle. Null texts have null grades and are not kept; empty texts are
 scored as texts without features. Repeated labels of an id count as its lowest grade. Without labels all
 texts get the middle of the scale and are kept. Repeated rows and null ids are rows like others.
 """
 
 from __future__ import annotations
 
+import mmap
 import re
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import Remembered, give_back, pick, shingle_hashes, small_batches, views
+from sievework.llm.common import Remembered, discard, give_back, pick, shingle_hashes, small_batches, written_in_batches
 
 COLUMNS = 1 << 18
 SHARE = 4.0
 START = 5
 #: Thresholds stay so far apart at least, so that no grade's probability vanishes.
 GAP = 0.02
+#: As many bytes of features come to the driver at a time, on average.
+PIECE = 16 << 20
 LETTERS = re.compile(r"[^\W\d_]+")
 OTHERS = re.compile(r"([^\w])\1+")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -126,6 +130,28 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", grade.alias("grade")).where("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
 
+class Held:
+    """Arrays by key in a temporary file that is mapped, so that a sample of long texts takes disk and no memory."""
+
+    def __init__(self):
+        self.file, self.places, self.size, self.map = tempfile.TemporaryFile(), {}, 0, None
+
+    def put(self, key: int, at: bytes, x: bytes) -> None:
+        """Columns and values; a key that is there has the same ones."""
+        if key not in self.places:
+            self.places[key] = self.size, len(at)
+            self.size += self.file.write(at) + self.file.write(x)
+
+    def get(self, key: int) -> tuple[np.ndarray, np.ndarray]:
+        start, n = self.places[key]
+        if not n:
+            return np.empty(0, "<i4"), np.empty(0, "<f4")
+        if self.map is None:
+            self.file.flush()
+            self.map = mmap.mmap(self.file.fileno(), self.size, access=mmap.ACCESS_READ)
+        return np.frombuffer(self.map, "<i4", n // 4, start), np.frombuffer(self.map, "<f4", n // 4, start + n)
+
+
 def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample: int = 20_000, doc_id: str = "doc_id", text: str = "text") -> Ordinal:
     """Fits on at most `sample` rows of ratings(doc_id, grade) and their texts."""
     mark = F.xxhash64(F.col("doc_id").cast("string"), F.lit(13))
@@ -137,14 +163,27 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, sample: int = 20
             found = [(at.astype("<i4").tobytes(), x.astype("<f4").tobytes()) for at, x in map(make.of, batch.column(0).to_pylist())]
             order = pa.array([xxhash.xxh3_64_intdigest(at + x) - (1 << 63) for at, x in found], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(1), order, pa.array([at for at, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], ["grade", "order", "at", "x"])
+        make.words.clear()
+        give_back()
 
     rows = pick(docs, doc_id, text).toDF("doc_id", "text").where("text is not null")
-    # `sample` ids and grades are broadcast at most; the limit holds if ids are repeated in docs
-    got = rows.join(F.broadcast(chosen), "doc_id").select("text", "grade").mapInArrow(features, "grade int, order long, at binary, x binary").limit(sample).toArrow()
-    # the same order whatever task gave a row
-    data = [(g, at, x) for _, g, at, x in sorted(zip(got.column("order").to_pylist(), got.column("grade").to_pylist(), views(got.column("at"), "<i4"), views(got.column("x"), "<f4"), strict=True), key=lambda r: r[:2])]
-    model = fit(data, grades)
-    del got, data
+    # `sample` ids and grades are broadcast at most
+    made = rows.join(F.broadcast(chosen), "doc_id").select("text", "grade").mapInArrow(features, "grade int, order long, at binary, x binary")
+    made = written_in_batches(made, "features")
+    # the same order whatever task gave a row; the limit holds if ids are repeated in docs
+    first = made.select("order", "grade").orderBy("order", "grade").limit(sample).toArrow()
+    keys = sorted(zip(first.column("order").to_pylist(), first.column("grade").to_pylist(), strict=True))
+    n, size = made.agg(F.count("*"), F.coalesce(F.sum(2 * F.length("at")), F.lit(0))).first()
+    left = made.select("order", "at", "x")
+    if n > sample:
+        left = left.where(F.col("order") <= keys[-1][0]).dropDuplicates(["order"])
+    # neither a task nor the driver's JVM has the features of all rows at once: they grow with the length of the texts
+    held = Held()
+    for order, at, x in left.repartition(-(-size // PIECE) or 1).toLocalIterator():
+        held.put(order, at, x)
+    discard(made)
+    model = fit([(grade, *held.get(order)) for order, grade in keys], grades)
+    del held
     give_back()
     return model
 

@@ -441,6 +441,30 @@ def test_quality_classifier_learns_from_20_000_rows(spark, monkeypatch):
     assert len(got) == 20_000 and set(got) == {0, 1, 2}
 
 
+def test_quality_classifier_is_fitted_on_long_texts_by_pieces(spark, monkeypatch):
+    """No job may send the features of all rows: here they are five times what Spark lets the driver take from one."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{v}" for v in rng.integers(0, 1_000_000, 5000)) for _ in range(80)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate([*texts, texts[0]])], "doc_id long, text string").repartition(8)
+    ratings = docs.select("doc_id", (F.col("doc_id") % 3).cast("int").alias("grade"))
+    conf, key = spark.sparkContext._jsc.sc().conf(), "spark.driver.maxResultSize"
+    monkeypatch.setattr(op7_quality_classifier, "PIECE", 1 << 18, raising=False)
+    monkeypatch.setattr(op7_quality_classifier, "fit", lambda rows, grades: sorted((g, at.tobytes(), x.tobytes()) for g, at, x in rows))
+    make = op7_quality_classifier.Features()
+    found = [(i % 3, *make.of(x)) for i, x in enumerate([*texts, texts[0]])]
+    wanted = sorted((g, at.astype("<i4").tobytes(), x.astype("<f4").tobytes()) for g, at, x in found)
+    assert sum(len(at) + len(x) for _, at, x in wanted) > 5 << 20
+    before = conf.get(key, "1g")
+    conf.set(key, "1m")
+    try:
+        got = op7_quality_classifier.train(docs, ratings)
+        twice = op7_quality_classifier.train(docs.union(docs), ratings, sample=100)  # ids are repeated, and the limit holds
+    finally:
+        conf.set(key, before)
+    assert got == wanted
+    assert len(twice) == 100 and set(twice) <= set(wanted)
+
+
 def test_ordinal_slopes_and_steady_thresholds():
     """One row, one epoch: weights move as the numerical slope of the loss says; thresholds keep still where grades are apart."""
     at, x = np.array([3, 9]), np.array([0.5, 1.0], np.float32)
